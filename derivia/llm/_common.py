@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from derivia.plans.shipping import ship
+
 #: One word: a maximal run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one vectorised kernel call works on; longer single texts make a call of their own.
@@ -23,7 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_setup(spark: SparkSession) -> None:
-    """Small Arrow batches: rows here are whole documents."""
+    """Small Arrow batches, as rows here are whole documents, and the kernels' code on the executors."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
