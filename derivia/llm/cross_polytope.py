@@ -105,7 +105,7 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     Two vectors are linked if their cosine in double precision is `least` or more and they share a bucket. n_links is
     the number of other vectors linked directly, component_id the smallest id reachable by links, kept whether that is
     its own. Vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do vectors
-    of different lengths. Ids must be distinct. An empty table gives an empty one.
+    of different lengths and vectors without an id. Rows of one id count each; ids should be distinct. An empty table gives an empty one.
 
     Equal vectors become one class with a count before anything is hashed, so copies are never paired. A bucket of
     more than a block of classes is compared block by block, every block pair in a task of its own, and a pair counts
@@ -116,7 +116,7 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     v = F.col("v")
     base = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = (F.size(v) > 0) & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
-    base = base.withColumn("v", F.when(finite, F.transform(v, lambda e: e + F.lit(0.0))))
+    base = base.withColumn("v", F.when(finite & F.col("id").isNotNull(), F.transform(v, lambda e: e + F.lit(0.0))))
     classes = checkpointed(base.filter("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,7 +186,7 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     component = F.coalesce("component", "id")
     return out.select(
         F.col("id").alias(id_col), F.coalesce(F.col("links") + F.col("n") - 1, F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"), (component == F.col("id")).alias("kept"),
+        component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
     )
 
 

@@ -174,7 +174,8 @@ def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     A class is a connected component of links: Jaccard similarity of the sets of five-word windows of at least 0.8.
     Documents of equal window sets, copies among them, become one member before anything is paired; documents without
-    words are alone, shorter ones have one window of all their words. Ids must be distinct and not null. An empty
+    words are alone, shorter ones have one window of all their words. A null id has no class and is kept; rows
+    of one id count as one document. An empty
     table gives an empty one.
 
     Candidates share a band of their DartMinHash signatures. In each round every bucket's members are verified against
@@ -186,7 +187,7 @@ def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     arrow_setup(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = checkpointed(banded(base, bands=bands, rows=rows, words=words, seed=seed))
-    members = signed.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
+    members = signed.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
     placed = members.select("rep", F.explode("bands").alias("key"))
     crowded = placed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
     met = checkpointed(placed.join(crowded, "key").select("key", F.col("rep").alias("id")))
@@ -211,4 +212,4 @@ def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         state = met.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
         links = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
     classes = members.join(links, F.col("rep") == F.col("a"), "left").select("digest", F.coalesce("b", "rep").alias("class_id"))
-    return signed.join(classes, "digest", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), (F.coalesce("class_id", "id") == F.col("id")).alias("kept"))
+    return signed.join(classes, "digest", "left").select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"), F.coalesce(F.coalesce("class_id", "id") == F.col("id"), F.lit(True)).alias("kept"))

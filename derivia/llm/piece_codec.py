@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -307,10 +307,10 @@ def _shipped(name: str) -> PieceModel:
     return load(SparkFiles.get(name))
 
 
-def coded(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_text: bool = False) -> DataFrame:
+def coded(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), with_ids: bool = False, with_text: bool = False) -> DataFrame:
     """Encode every whole text and decode the ids again, one row per document.
 
-    Returns id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256, and on request the ids
+    Returns id, the columns to carry, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256, and on request the ids
     and the decoded text themselves. A null text counts as empty and has no tokens. The vocabulary file goes to the
     executors as a job file and is read once in each worker. Documents are cut into words at the marks, which no piece
     spans; each distinct word of a few megabytes of text is merged once, all of them in the same rounds.
@@ -319,12 +319,13 @@ def coded(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col:
     arrow_setup(spark)
     spark.sparkContext.addFile(model_path)
     name = model_path.rsplit("/", 1)[-1]
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
+    kept = [id_col, *carry]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _shipped(name)
-        for batch in chunks(batches):
-            known, words, offsets = model.encode_batch(batch.column("text"))
+        for batch in chunks(batches, "__text"):
+            known, words, offsets = model.encode_batch(batch.column("__text"))
             counts = np.fromiter((len(x[0]) for x in known), np.int64, len(known))
             total = np.r_[0, np.cumsum(counts[words] if len(words) else words)]
             digits = pa.array([x[1] for x in known], pa.large_string())
@@ -332,13 +333,13 @@ def coded(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col:
             lists = lambda values, sep: pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), values.take(pa.array(words))), pa.scalar(sep, values.type))
             numbers = lists(digits, ",").to_pylist()
             texts = [x[1:] if x[:1] == b" " else x for x in lists(plain, b"").to_pylist()]
-            out = [batch.column(id_col), pa.array(total[offsets[1:]] - total[offsets[:-1]], pa.int64())]
+            out = [*(batch.column(c) for c in kept), pa.array(total[offsets[1:]] - total[offsets[:-1]], pa.int64())]
             out += [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in numbers], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())]
             if with_ids:
                 flat = np.fromiter((x for w in words for x in known[w][0]), np.int32, total[-1])
                 out.append(pa.ListArray.from_arrays(pa.array(np.r_[0, total[offsets[1:]]], pa.int32()), pa.array(flat, pa.int32())))
             if with_text:
                 out.append(pa.array([x.decode() for x in texts], pa.string()))
-            yield pa.RecordBatch.from_arrays(out, [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_text])
+            yield pa.RecordBatch.from_arrays(out, [*kept, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_text])
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text_col).alias("__text")).mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from derivia.llm import cross_polytope, dart_minhash, license_scan, mixing, piece_codec, quality_rules, token_counts, url_filters
+from derivia.llm import cross_polytope, dart_minhash, license_scan, mixing, piece_codec, quality_rules, substring_dedup, suffix_dedup, token_counts, url_filters
 from derivia.llm._common import table, word_count
 
 
@@ -49,6 +49,14 @@ def list_entries(pages: DataFrame) -> DataFrame:
     return blocked.union(ended).union(passed).union(fixed)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filtered(captures(spark, sf_dir), list_entries(table(spark, sf_dir, "pages")))
 
@@ -87,6 +95,8 @@ def op10_quality_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_source_mix": op5_source_mix,
