@@ -49,7 +49,7 @@ def u64(key: Column, seed: int | str, salt: str) -> Column:
     """A hash of 64 bits, as decimal(20, 0)."""
     if _kernel.get() == "xxhash64":
         h = F.xxhash64(F.lit(hash_key(seed, salt)), key).cast("decimal(20,0)")
-        return F.when(h < 0, h + F.lit(2**64).cast("decimal(20,0)")).otherwise(h).cast("decimal(20,0)")
+        return F.when(h < 0, h + F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(h).cast("decimal(20,0)")
     return F.conv(F.substring(_digest(key, seed, salt), 1, 16), 16, 10).cast("decimal(20,0)")
 
 

@@ -29,7 +29,7 @@ def share_delta(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     counts = side(a, "n").join(side(b, "m"), "v", "full")
     sums = counts.agg(F.sum("n").alias("all_n"), F.sum("m").alias("all_m"))
     shares = counts.join(F.broadcast(sums))  # one row
-    return shares.agg((F.sum(F.abs(F.coalesce("n", F.lit(0)) / F.col("all_n") - F.coalesce("m", F.lit(0)) / F.col("all_m"))) / 2).alias("delta"))
+    return shares.agg((F.sum(F.abs(F.try_divide(F.coalesce("n", F.lit(0)), F.col("all_n")) - F.try_divide(F.coalesce("m", F.lit(0)), F.col("all_m")))) / 2).alias("delta"))
 
 
 #: Ranges that a KS test's values are cut into, so that no task needs all of them in order.
@@ -52,7 +52,7 @@ def ks(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     total = Window.partitionBy()
     ranges = ranges.select("r", F.coalesce(F.sum("rx").over(before), F.lit(0)).alias("bx"), F.coalesce(F.sum("ry").over(before), F.lit(0)).alias("by"), F.sum("rx").over(total).alias("n"), F.sum("ry").over(total).alias("m"))
     run = Window.partitionBy("r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = placed.join(F.broadcast(ranges), "r").select(((F.col("bx") + F.sum("x").over(run)) / F.col("n")).alias("f"), ((F.col("by") + F.sum("y").over(run)) / F.col("m")).alias("g"), "n", "m")
+    cum = placed.join(F.broadcast(ranges), "r").select(F.try_divide(F.col("bx") + F.sum("x").over(run), F.col("n")).alias("f"), F.try_divide(F.col("by") + F.sum("y").over(run), F.col("m")).alias("g"), "n", "m")
     return cum.agg(F.max(F.abs(F.col("f") - F.col("g"))).alias("statistic"), F.max("n").alias("n"), F.max("m").alias("m"))
 
 
@@ -95,8 +95,8 @@ def ks_pvalue(statistic: float, n: int, m: int) -> float:
 def pearson(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row, value: correlation over rows with both numbers; null with fewer than two, or without spread."""
     pair = df.select(number(df, a).alias("x"), number(df, b).alias("y")).filter("x is not null and y is not null")
-    r = F.corr("x", "y")
-    return pair.agg(F.when((F.count("*") > 1) & (F.min("x") < F.max("x")) & (F.min("y") < F.max("y")), r).alias("value"))
+    spread = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
+    return pair.agg(F.when(spread, F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))).alias("value"))
 
 
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
