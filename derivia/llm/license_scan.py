@@ -72,16 +72,24 @@ class Scanner:
         alone = len(self.plain.compress(part))
         return (alone - len(self.known[name].compress(part))) / alone
 
-    def window(self, name: str, block: list[str]) -> tuple[int, int]:
-        """The words of the block, one and a half template's length, that hold most of the template's words."""
+    def windows(self, name: str, block: list[str]) -> Iterator[tuple[int, int]]:
+        """Stretches of the block that hold most of the template's word pairs, with some words around."""
         template = self.words[name]
-        width = len(template) + max(4, len(template) // 2)
+        pad = max(4, len(template) // 2)
+        width = len(template) + pad
         if len(block) <= width:
-            return 0, len(block)
-        inside = np.fromiter(map(set(template).__contains__, block), bool, len(block))
+            yield 0, len(block)
+            return
+        pairs = set(zip(template, template[1:]))
+        inside = np.fromiter(map(pairs.__contains__, zip(block, block[1:])), bool, len(block) - 1)
         sums = np.r_[0, np.cumsum(inside)]
-        at = int(np.argmax(sums[width:] - sums[:-width]))
-        return at, at + width
+        held = sums[width - 1 :] - sums[: len(sums) - width + 1]
+        while True:
+            at = int(np.argmax(held))
+            if held[at] < max(1, len(pairs) // 2):
+                return
+            yield max(0, at - pad), min(at + width + pad, len(block))
+            held[max(0, at - width + 1) : at + width] = -1
 
     def scan(self, text: str) -> list[tuple[int, int, str, float, int, int]]:
         """First line, last line, license, reduction, template words missing, words put in between, of each finding."""
@@ -93,10 +101,10 @@ class Scanner:
                 continue
             ranked = []
             for name in self.known:
-                a, b = self.window(name, words)
-                part = block[spans[a][0] : spans[b - 1][1]].encode()
-                if (r := self.reduction(name, part)) >= self.least:
-                    ranked.append((-r, name, a, b))
+                for a, b in self.windows(name, words):
+                    part = block[spans[a][0] : spans[b - 1][1]].encode()
+                    if (r := self.reduction(name, part)) >= self.least:
+                        ranked.append((-r, name, a, b))
             taken = np.zeros(len(words), bool)
             for r, name, a, b in sorted(ranked):
                 template = self.words[name]
