@@ -72,11 +72,14 @@ class Scanner:
         alone = len(self.plain.compress(part))
         return (alone - len(self.known[name].compress(part))) / alone
 
+    def pad(self, name: str) -> int:
+        """Words that a license in the text may have more than its template."""
+        return max(4, len(self.words[name]) // 2)
+
     def windows(self, name: str, block: list[str]) -> Iterator[tuple[int, int]]:
-        """Stretches of the block that hold most of the template's word pairs, with some words around."""
+        """Stretches of the block that hold most of the template's word pairs."""
         template = self.words[name]
-        pad = max(4, len(template) // 2)
-        width = len(template) + pad
+        width = len(template) + self.pad(name)
         if len(block) <= width:
             yield 0, len(block)
             return
@@ -88,7 +91,7 @@ class Scanner:
             at = int(np.argmax(held))
             if held[at] < max(1, len(pairs) // 2):
                 return
-            yield max(0, at - pad), min(at + width + pad, len(block))
+            yield at, min(at + width, len(block))
             held[max(0, at - width + 1) : at + width] = -1
 
     def scan(self, text: str) -> list[tuple[int, int, str, float, int, int]]:
@@ -104,7 +107,7 @@ class Scanner:
                 for a, b in self.windows(name, words):
                     part = block[spans[a][0] : spans[b - 1][1]].encode()
                     if (r := self.reduction(name, part)) >= self.least:
-                        ranked.append((-r, name, a, b))
+                        ranked.append((-r, name, max(0, a - self.pad(name)), b + self.pad(name)))
             taken = np.zeros(len(words), bool)
             for r, name, a, b in sorted(ranked):
                 template = self.words[name]
