@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +32,19 @@ def components(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         seen = now
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Links from each id to the smallest one it reaches over the given pairs."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = up[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = top(x), top(y)
+        up[max(x, y)] = min(x, y)
+    return [(x, t) for x in list(up) if (t := top(x)) != x]

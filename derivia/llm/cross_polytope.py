@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from derivia.llm._common import arrow_setup, checkpointed, mixed
-from derivia.llm.components import components
+from derivia.llm.components import components, spanning
 
 #: Tables, hashes in each, and buckets that a vector is put in for each table.
 TABLES, HASHES, PROBES = 10, 3, 4
@@ -188,19 +188,3 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
         F.col("id").alias(id_col), F.coalesce(F.col("links") + F.col("n") - 1, F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
     )
-
-
-def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Links from each id to the smallest one it reaches over the given pairs."""
-    up: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (y := up.setdefault(x, x)) != x:
-            up[x] = up[y]
-            x = up[x]
-        return x
-
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = top(x), top(y)
-        up[max(x, y)] = min(x, y)
-    return [(x, t) for x in list(up) if (t := top(x)) != x]

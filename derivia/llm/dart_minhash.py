@@ -11,16 +11,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from derivia.llm._common import arrow_setup, checkpointed, chunks, flat_bytes, flat_words, mixed, span_hashes
-from derivia.llm.components import components
+from derivia.llm._common import arrow_setup, checkpointed, chunks, flat_bytes, flat_words, mixed, release, span_hashes
+from derivia.llm.components import components, spanning
 
 WORDS = 5
 #: 25 bands of 5 coordinates: a pair of similarity 0.8 shares a band with probability 0.99995, one of 0.3 with 0.06.
 BANDS, ROWS = 25, 5
 #: Lower ends of the dart ranks' slabs: 0, then powers of two.
 FIRST_SLAB = -6
-#: Rounds in which each bucket's members meet one of them before all pairs still apart meet.
-ROUNDS = 4
+#: Rounds in which each member meets one other before all that are still apart meet.
+ROUNDS = 3
+#: Members of a bucket that one task compares with as many others.
+BLOCK = 256
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -169,19 +171,77 @@ def _linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, seed: int = 0) -> DataFrame:
+def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of a block's sets, by products of slabs of their incidence matrix."""
+    n = len(sets)
+    out = np.zeros((n, n), np.float64)
+    grams = np.concatenate(sets)
+    row = np.repeat(np.arange(n), list(map(len, sets)))
+    order = np.argsort(grams, kind="stable")
+    grams, row = grams[order], row[order]
+    fresh = np.r_[True, grams[1:] != grams[:-1]]
+    number = np.cumsum(fresh) - 1
+    shared = np.bincount(number)[number] > 1  # a gram of one set adds to no intersection with another
+    row, number = row[shared], np.cumsum((fresh & shared)[shared]) - 1
+    for lo in range(0, int(number.max(initial=-1)) + 1, columns):
+        a, b = np.searchsorted(number, (lo, lo + columns))
+        part = np.zeros((n, columns), np.float32)
+        part[row[a:b], number[a:b] - lo] = 1
+        out += part @ part.T
+    np.fill_diagonal(out, list(map(len, sets)))
+    return out
+
+
+def _linked_blocks(rows: DataFrame, least: float) -> DataFrame:
+    """Spanning links of the blocks (key, i, j), whose members' sets come together. Input: key, i, j, id, grams."""
+
+    def work(batch: pa.RecordBatch) -> tuple[list[int], list[int]]:
+        ids = batch.column("id").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("grams")]
+        size = np.array(list(map(len, sets)), np.float64)
+        same = overlaps(sets)
+        a, b = np.nonzero(np.triu(same >= least * (size[:, None] + size[None, :] - same), 1))
+        links = spanning(ids[a], ids[b])
+        return [x for x, _ in links], [y for _, y in links]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in work(whole)], ["a", "b"])
+
+        mark = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            marks = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], 1)
+            cuts = np.r_[0, np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1, len(batch)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and tuple(marks[lo]) != mark:
+                    yield flush()
+                mark = tuple(marks[lo])
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield flush()
+
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "id", "grams").mapInArrow(run, "a long, b long")
+
+
+def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, block: int = BLOCK, seed: int = 0) -> DataFrame:
     """One row per document: id, class_id (smallest id of its class), kept (whether that is its own).
 
     A class is a connected component of links: Jaccard similarity of the sets of five-word windows of at least 0.8.
     Documents of equal window sets, copies among them, become one member before anything is paired; documents without
-    words are alone, shorter ones have one window of all their words. A null id has no class and is kept; rows
-    of one id count as one document. An empty
-    table gives an empty one.
-
-    Candidates share a band of their DartMinHash signatures. In each round every bucket's members are verified against
-    one of them, chosen by a hash of the round, if their classes still differ; after that every pair of a bucket whose
-    classes still differ is. A link inside a class changes nothing, so none that matters is lost, and the pairs of a
-    large group of copies are never listed. All state is tables in the checkpoint folder.
+    words are alone, shorter ones have one window of all their words. A null id has no class and is kept; rows of one
+    id count as one document. An empty table gives an empty one.
+
+    Candidates share a band of their DartMinHash signatures. In each round every member of a bucket with several
+    classes is verified against one other. Then, in buckets whose classes still differ, all members are, block by
+    block, each block pair in a task of its own that returns a spanning set of its links; of buckets with the same
+    members one is enough. A link inside a class changes nothing, so none that matters is lost. All state is tables
+    in the checkpoint folder.
     """
     spark = docs.sparkSession
     arrow_setup(spark)
@@ -192,23 +252,26 @@ def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     crowded = placed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
     met = checkpointed(placed.join(crowded, "key").select("key", F.col("rep").alias("id")))
     sets = checkpointed(_sets(base.join(met.select("id").distinct(), "id", "left_semi"), words))
+    release(spark)
     links = spark.createDataFrame([], "a long, b long")
     state = met.withColumn("part", F.col("id"))
     for k in range(rounds + 1):
         if k < rounds:
             order = F.xxhash64("id", F.lit(seed * 1000 + k))
-            centre = state.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "part")).alias("c"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key", F.col("c.id").alias("b"), F.col("c.part").alias("other"))
-            pairs = state.join(centre, "key").filter("part <> other").select(F.col("id").alias("a"), "b")
+            centre = state.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "part")).alias("c"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key", "c")
+            pairs = state.join(centre, "key").filter("part <> c.part").groupBy(F.col("id").alias("a")).agg(F.min("c").alias("c")).select("a", F.col("c.id").alias("b"))
+            pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            found = checkpointed(_linked(pairs, sets, least))
         else:
-            open_ = state.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-            left = state.join(open_, "key")
-            pairs = left.alias("l").join(left.alias("r"), F.expr("l.key = r.key and l.id < r.id and l.part <> r.part")).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        found = checkpointed(_linked(pairs, sets, least))
+            open_ = state.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("sum")).filter("lo < hi")
+            open_ = open_.groupBy("size", "sum").agg(F.min("key").alias("key")).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+            left = state.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")).cast("int"))
+            left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+            found = checkpointed(_linked_blocks(left.join(sets, "id"), least))
+        release(spark)
         if found.isEmpty():
             continue
-        links = links.union(found)
-        parts = checkpointed(components(links))
+        parts = checkpointed(components(links.union(found)))
         state = met.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
         links = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
     classes = members.join(links, F.col("rep") == F.col("a"), "left").select("digest", F.coalesce("b", "rep").alias("class_id"))

@@ -22,7 +22,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words of more symbols than this are merged with a heap: a round for each merge would cost their length squared.
 LONG_WORD = 256
 #: Distinct words that a worker remembers.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 120_000
 _NONE = np.int32(2**31 - 1)
 
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from derivia.llm._common import _MIX, SPACE, arrow_setup, chunks, flat_bytes, flat_words, mixed, span_hashes
+from derivia.llm._common import _MIX, KERNEL_BYTES, SPACE, arrow_setup, checkpointed, chunks, flat_bytes, flat_words, mixed, release, span_hashes
 
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * _MIX)
@@ -33,7 +33,7 @@ class Units:
     length: int
     gram: int
 
-    def parse(self, texts: pa.Array) -> Parsed:
+    def parse(self, texts: pa.Array) -> Parsed:  # of text or bytes
         data, offsets = flat_bytes(texts)
         if self.kind == "bytes":
             at = np.arange(len(data) + 1)
@@ -90,13 +90,18 @@ def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return op(x[:-rest], x[rest:]) if rest else x
 
 
+def _order(h: np.ndarray) -> np.ndarray:
+    """What the smallest k-gram hash is judged by."""
+    return (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+
 def anchors(parsed: Parsed, units: Units) -> tuple[np.ndarray, np.ndarray]:
     """Flat unit positions of the anchors of all windows, and the hashes of their k-grams."""
     n, k, w = len(parsed.values), units.gram, units.length - units.gram + 1
     if n < units.length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = gram_hashes(parsed.values, k)
-    order = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    order = _order(h)
     low = _sliding(order, w, True)
     # Windows that cross a document's end count for nothing.
     room = np.repeat(parsed.offsets[1:], np.diff(parsed.offsets))[: len(low)] - np.arange(len(low))
@@ -116,57 +121,104 @@ def _take(ids: pa.Array, rows: np.ndarray) -> pa.Array:
     return ids.take(pa.array(rows))
 
 
-def repeated_anchors(docs: DataFrame, units: Units) -> DataFrame:
-    """id, pos, key of all anchors whose k-gram occurs more than once."""
+def context_hashes(grams: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, units: Units) -> np.ndarray:
+    """A hash of each anchor's context, units lo to hi - 1, and of where in it the anchor is, from hashes of its k-grams."""
+    k = units.gram
+    out = (at - lo).astype(np.uint64) * _STEP + (hi - at).astype(np.uint64)
+    for j in [*range(0, 2 * (units.length - k) + 1, k), 2 * units.length]:
+        out = mixed(out * _MIX + grams[np.minimum(lo + j, hi - k)])
+    return out
+
+
+def _counted(docs: DataFrame, units: Units) -> DataFrame:
+    """key, n of the anchors' k-grams that occur more than once."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             _, h = anchors(units.parse(batch.column("text")), units)
             h = np.sort(h)
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
-            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.minimum(np.diff(np.r_[first, len(h)]), 2).astype(np.int32))], ["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.diff(np.r_[first, len(h)]).astype(np.int32))], ["key", "n"])
+
+    return docs.mapInArrow(run, "key long, n int").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
+
+
+def _placed(docs: DataFrame, units: Units) -> DataFrame:
+    """key, ctx, id, pos, before, behind of every anchor: its context reaches from pos - before to pos + behind."""
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             parsed = units.parse(batch.column("text"))
             at, h = anchors(parsed, units)
             of = _documents(parsed, at)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), _take(batch.column("id"), of), pa.array((at - parsed.offsets[of]).astype(np.int32))], ["key", "id", "pos"])
+            lo = np.maximum(at + units.gram - units.length, parsed.offsets[of])
+            hi = np.minimum(at + units.length, parsed.offsets[of + 1])
+            ctx = context_hashes(gram_hashes(parsed.values, units.gram), at, lo, hi, units) if len(at) else h
+            ints = [pa.array(x.astype(np.int32)) for x in (at - parsed.offsets[of], at - lo, hi - at)]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), _take(batch.column("id"), of), *ints], ["key", "ctx", "id", "pos", "before", "behind"])
+
+    return docs.mapInArrow(run, "key long, ctx long, id long, pos int, before int, behind int").filter("id is not null")
 
-    twice = docs.mapInArrow(counted, "key long, n int").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
-    return docs.mapInArrow(placed, "key long, id long, pos int").join(twice, "key", "left_semi")
 
+def _judged(grouped: DataFrame, keep_first: bool) -> DataFrame:
+    """What the anchors of one k-gram say: id, lo, hi, key, and ask: null for a range to remove, else whether the context occurs again.
 
-def contexts(spotted: DataFrame, units: Units) -> DataFrame:
-    """key, ctx, id, pos, lo, hi of each spotted anchor: the digest and unit range of its context. Input: id, text, spots."""
+    Input: key, seen (array of ctx, id, pos, before, behind), bounded by `crowd`. Of each context that occurs again all
+    places, or all but the first, are to remove; if there are several contexts, the first place of each has to be compared.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            parsed = units.parse(batch.column("text"))
-            spots = batch.column("spots")
-            of = np.repeat(np.arange(len(batch)), pc.list_value_length(spots).to_numpy(zero_copy_only=False))
-            at = spots.flatten().to_numpy() + parsed.offsets[of]
-            order = np.argsort(at, kind="stable")
-            order = order[at[order] + units.gram <= parsed.offsets[of[order] + 1]]  # else of another row of this id
-            at, of = at[order], of[order]
-            h = gram_hashes(parsed.values, units.gram)[at] if len(at) else np.zeros(0, np.uint64)
-            lo = np.maximum(at + units.gram - units.length, parsed.offsets[of])
-            hi = np.minimum(at + units.length, parsed.offsets[of + 1])
-            ctx = [hashlib.blake2b(parsed.span(a, b), digest_size=16, key=(p - a).to_bytes(4)).digest() for a, b, p in zip(lo.tolist(), hi.tolist(), at.tolist(), strict=True)]
-            base = parsed.offsets[of]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(ctx, pa.binary()), _take(batch.column("id"), of), *(pa.array((x - base).astype(np.int32)) for x in (at, lo, hi))],
-                ["key", "ctx", "id", "pos", "lo", "hi"],
-            )
+        for batch in batches:
+            seen = batch.column("seen")
+            row = np.repeat(np.arange(len(batch)), pc.list_value_length(seen).to_numpy(zero_copy_only=False))
+            flat = seen.flatten()
+            ctx, ids, pos, before, behind = (flat.field(x).to_numpy() for x in ("ctx", "id", "pos", "before", "behind"))
+            order = np.lexsort((pos, ids, ctx, row))
+            row, ctx, ids, pos, before, behind = (x[order] for x in (row, ctx, ids, pos, before, behind))
+            new_row = np.r_[True, row[1:] != row[:-1]][: len(row)]
+            first = new_row | np.r_[True, ctx[1:] != ctx[:-1]][: len(row)]
+            group = np.cumsum(first) - 1
+            place = first | np.r_[True, (ids[1:] != ids[:-1]) | (pos[1:] != pos[:-1])][: len(row)]  # a row that repeats is one place
+            many = (np.bincount(group, place) > 1)[group] if len(group) else first
+            kinds = np.bincount(row[first], minlength=len(batch))[row]
+            remove = many & place & (~first if keep_first else True)
+            ask = first & (kinds > 1)
+            keys = batch.column("key").to_numpy()[row]
+            pick = np.r_[np.flatnonzero(remove), np.flatnonzero(ask)]
+            verdict = [None] * int(remove.sum()) + many[ask].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[pick]), pa.array((pos - before)[pick].astype(np.int32)), pa.array((pos + behind)[pick].astype(np.int32)), pa.array(keys[pick]), pa.array(verdict, pa.bool_())], ["id", "lo", "hi", "key", "ask"])
+
+    return grouped.mapInArrow(run, "id long, lo int, hi int, key long, ask boolean")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """id and the text, compressed, so that its one shuffle moves less."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([pack((x or "").encode()) for x in batch.column("text").to_pylist()], pa.binary())], ["id", "text"])
+
+    return docs.mapInArrow(run, "id long, text binary")
+
 
-    return spotted.mapInArrow(run, "key long, ctx binary, id long, pos int, lo int, hi int")
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with their texts' bytes again, a few megabytes at a time."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in chunks(batches, most=KERNEL_BYTES // 3):
+        texts = pa.array([unpack(x) for x in batch.column("text").to_pylist()], pa.large_binary())
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", texts)
 
 
 def snippets(asked: DataFrame, units: Units) -> DataFrame:
     """The bytes of unit ranges. Input: id, text, asked (array of key, lo, hi, many, hot)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in unpacked(batches):
             parsed = units.parse(batch.column("text"))
             rows = batch.column("asked")
             of = np.repeat(np.arange(len(batch)), pc.list_value_length(rows).to_numpy(zero_copy_only=False))
@@ -177,52 +229,68 @@ def snippets(asked: DataFrame, units: Units) -> DataFrame:
     return asked.mapInArrow(run, "key long, id long, lo int, many boolean, hot boolean, part binary")
 
 
-#: Snippets of one anchor that a task compares; more are settled by counting their windows.
-CROWD = 2000
+#: Places of one k-gram that a task judges; those of a more frequent one are counted with partial sums.
+CROWD = 4096
+#: So many frequent k-grams, 16 bytes each, are broadcast to tell them apart before the shuffle.
+BROADCAST_KEYS = 500_000
 
 
 def settled(docs: DataFrame, units: Units, keep_first: bool, compare: Callable[[DataFrame], DataFrame], crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """Texts by id (id, text, hash-partitioned), and unit ranges to remove (id, lo, hi).
+    """Packed texts by id (id, text, hash-partitioned), and unit ranges to remove (id, lo, hi).
 
     keep_first: a window goes if an equal one starts earlier, by (id, position); else if an equal one starts anywhere
     else. `compare` gets the snippets (key, id, lo, many, part) of anchors with different contexts, `many` for contexts
-    that occur more than once, and returns ranges. Anchors with more than `crowd` contexts, a frequent line in ever
-    new surroundings, are settled by their windows' digests, counted with partial sums.
+    that occur more than once, and returns ranges. k-grams with more than `crowd` places, of a page that is copied ever
+    again or a frequent line in ever new surroundings, take another way: their contexts are counted with partial sums,
+    and where these differ the windows in them, by their digests.
     """
     spark = docs.sparkSession
     arrow_setup(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.repartition(n, "id")
-    spots = repeated_anchors(docs, units).groupBy("id").agg(F.collect_list("pos").alias("spots"))
-    seen = contexts(texts.join(spots, "id").select("id", "text", "spots"), units)
-    each = seen.groupBy("key", "ctx").agg(F.min(F.struct("id", "pos", "lo", "hi")).alias("first"), F.count("*").alias("n"))
-    keys = each.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    wide = F.col("hi") - F.col("lo") >= units.length
-    again = each.filter("n > 1").select("key", "ctx", "first")
-    copies = seen.filter(wide).join(again, ["key", "ctx"]).select("id", "pos", "lo", "hi", "first")
-    if keep_first:
-        copies = copies.filter("id <> first.id or pos <> first.pos")
-    full = copies.select("id", "lo", "hi")
-    differing = each.join(keys, "key").select(F.col("first.id").alias("id"), F.struct("key", "first.lo", "first.hi", (F.col("n") > 1).alias("many"), (F.col("kinds") > crowd).alias("hot")).alias("ask")).filter(F.expr(f"ask.hi - ask.lo >= {units.length}"))
-    asked = texts.join(differing.groupBy("id").agg(F.collect_list("ask").alias("asked")), "id").select("id", "text", "asked")
-    parts = snippets(asked, units)
-    ranges = full.union(compare(parts.filter("not hot").drop("hot"))).union(_by_windows(parts.filter("hot").drop("hot"), units, keep_first))
+    counts = checkpointed(_counted(docs, units))
+    release(spark)
+    frequent = counts.filter(F.col("n") > crowd).select("key")
+    small = frequent.count() <= BROADCAST_KEYS
+    sized = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+    placed = _placed(docs, units)
+    usual = placed.join(sized(frequent), "key", "left_anti").join(counts.select("key"), "key")
+    verdicts = checkpointed(_judged(usual.groupBy("key").agg(F.collect_list(F.struct("ctx", "id", "pos", "before", "behind")).alias("seen")), keep_first))
+    release(spark)
+    full = verdicts.filter("ask is null").select("id", "lo", "hi")
+    asks = verdicts.filter("ask is not null").select("id", F.struct("key", "lo", "hi", F.col("ask").alias("many"), F.lit(False).alias("hot")).alias("ask"))
+    if not frequent.isEmpty():
+        hot = placed.join(sized(frequent), "key", "left_semi").select("key", "ctx", "id", "pos", (F.col("pos") - F.col("before")).alias("lo"), (F.col("pos") + F.col("behind")).alias("hi"))
+        each = checkpointed(hot.groupBy("key", "ctx").agg(F.min(F.struct("id", "pos", "lo", "hi")).alias("first"), F.max(F.struct("id", "pos")).alias("last")))
+        again = F.expr("first.id <> last.id or first.pos <> last.pos")
+        copies = hot.join(each.filter(again).select("key", "ctx", "first"), ["key", "ctx"])
+        full = full.union((copies.filter("id <> first.id or pos <> first.pos") if keep_first else copies).select("id", "lo", "hi"))
+        asks = asks.union(each.select("first.id", F.struct("key", "first.lo", "first.hi", again.alias("many"), F.lit(True).alias("hot")).alias("ask")))
+    texts = packed(docs).repartition(n, "id")
+    parts = snippets(texts.join(asks.groupBy("id").agg(F.collect_list("ask").alias("asked")), "id").select("id", "text", "asked"), units)
+    ranges = full.union(compare(parts.filter("not hot").drop("hot"))) if frequent.isEmpty() else full.union(compare(parts.filter("not hot").drop("hot"))).union(_by_windows(parts.filter("hot").drop("hot"), units, keep_first))
     return texts, ranges
 
 
 def _by_windows(parts: DataFrame, units: Units, keep_first: bool) -> DataFrame:
-    """Ranges of repeated windows, by a digest of every window."""
+    """Ranges of repeated windows, by a digest of every window whose smallest k-gram is the snippet's anchor.
+
+    A window belongs to one k-gram so, and so do its copies.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, starts, digests, many = [], [], [], []
-            for i, lo, m, part in zip(*(batch.column(c).to_pylist() for c in ("id", "lo", "many", "part")), strict=True):
-                pieces = part.split(b" ") if units.kind == "words" else part
-                for s in range(len(pieces) - units.length + 1):
-                    w = pieces[s : s + units.length]
-                    ids.append(i), starts.append(lo + s), many.append(m)
-                    digests.append(hashlib.blake2b(b" ".join(w) if units.kind == "words" else w, digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(many, pa.bool_())], ["w", "id", "lo", "many"])
+        for batch in chunks(batches, "part", KERNEL_BYTES // 4):
+            parsed = units.parse(batch.column("part"))
+            w = units.length - units.gram + 1
+            room = np.repeat(parsed.offsets[1:], np.diff(parsed.offsets)) - np.arange(len(parsed.values))
+            at = np.flatnonzero(room >= units.length)
+            of = _documents(parsed, at)
+            if len(at):
+                low = _sliding(_order(gram_hashes(parsed.values, units.gram)), w, True)
+                own = low[at] == _order(batch.column("key").to_numpy().view(np.uint64))[of]
+                at, of = at[own], of[own]
+            digests = [hashlib.blake2b(parsed.span(i, i + units.length), digest_size=16).digest() for i in at.tolist()]
+            starts = batch.column("lo").to_numpy()[of] + (at - parsed.offsets[of]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), _take(batch.column("id"), of), pa.array(starts, pa.int32()), _take(batch.column("many"), of)], ["w", "id", "lo", "many"])
 
     windows = parts.mapInArrow(run, "w binary, id long, lo int, many boolean").groupBy("w", "id", "lo").agg(F.max("many").alias("many"))
     place = F.struct("id", "lo")
@@ -287,7 +355,7 @@ def without(texts: DataFrame, ranges: DataFrame, units: Units, id_col: str, with
     spans = texts.join(ranges.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "id", "left").select("id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in unpacked(batches):
             parsed = units.parse(batch.column("text"))
             n, rows = len(parsed.values), batch.column("spans")
             of = np.repeat(np.arange(len(batch)), pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False))

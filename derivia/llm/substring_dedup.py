@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from derivia.llm.repeats import Units, groups_of, merged_ranges, settled, without
+from derivia.llm.repeats import CROWD, Units, groups_of, merged_ranges, settled, without
 
 #: Words of a repeat, and of the k-grams that anchor it.
 LENGTH, GRAM = 35, 12
@@ -128,7 +128,7 @@ def _matched_parts(parts: DataFrame, length: int) -> DataFrame:
     return parts.repartition("key").sortWithinPartitions("key").select("key", "id", "lo", "many", "part").mapInArrow(run, "id long, lo int, hi int")
 
 
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = False, crowd: int = 2000) -> DataFrame:
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = False, crowd: int = CROWD) -> DataFrame:
     """One row per document: id, n_words, n_removed, n_spans, kept_sha256, on request kept_text.
 
     Every word goes that a window of `length` words covers whose words also start anywhere else, in this document or

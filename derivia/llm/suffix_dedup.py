@@ -10,10 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from derivia.llm.repeats import Units, flat_bytes, groups_of, merged_ranges, settled, without
+from derivia.llm.repeats import CROWD, Units, flat_bytes, groups_of, merged_ranges, settled, without
 
 #: Bytes of a repeat, and of the k-grams that anchor it.
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 24
 #: Bytes of snippets that are sorted together.
 SORT_BYTES = 1 << 20
 
@@ -110,7 +110,7 @@ def _sorted_parts(parts: DataFrame, length: int) -> DataFrame:
     return parts.repartition("key").sortWithinPartitions("key").select("key", "id", "lo", "part").mapInArrow(run, "id long, lo int, hi int")
 
 
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = False, crowd: int = 2000) -> DataFrame:
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = False, crowd: int = CROWD) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, on request kept_text.
 
     Every byte goes that a string of `length` bytes covers which also starts earlier: in a document of smaller id, or
