@@ -19,8 +19,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from derivia.llm._common import _MIX, KERNEL_BYTES, SPACE, arrow_setup, checkpointed, chunks, flat_bytes, flat_words, mixed, release, span_hashes
+from derivia.llm._common import _MIX, SPACE, arrow_setup, checkpointed, chunks, flat_bytes, flat_words, mixed, release, span_hashes
 
+#: Text bytes that the anchors are chosen in at a time: their arrays, eight bytes a unit, then stay in a core's cache.
+ANCHOR_BYTES = 1 << 18
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * _MIX)
 
@@ -134,7 +136,7 @@ def _counted(docs: DataFrame, units: Units) -> DataFrame:
     """key, n of the anchors' k-grams that occur more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=ANCHOR_BYTES):
             _, h = anchors(units.parse(batch.column("text")), units)
             h = np.sort(h)
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
@@ -143,52 +145,89 @@ def _counted(docs: DataFrame, units: Units) -> DataFrame:
     return docs.mapInArrow(run, "key long, n int").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
 
 
+#: Contents of `places`.
+_PLACE = np.dtype([("id", np.int64), ("pos", np.int64)])
+_PLACED = "key long, ctx long, before int, behind int, places binary"
+
+
 def _placed(docs: DataFrame, units: Units) -> DataFrame:
-    """key, ctx, id, pos, before, behind of every anchor: its context reaches from pos - before to pos + behind."""
+    """key, ctx, before, behind, places: the anchors of each context, which reaches from pos - before to pos + behind.
+
+    The places of a context in some text make one row, so that copies do not crowd the shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=ANCHOR_BYTES):
             parsed = units.parse(batch.column("text"))
             at, h = anchors(parsed, units)
+            if not len(at):
+                continue
             of = _documents(parsed, at)
             lo = np.maximum(at + units.gram - units.length, parsed.offsets[of])
             hi = np.minimum(at + units.length, parsed.offsets[of + 1])
-            ctx = context_hashes(gram_hashes(parsed.values, units.gram), at, lo, hi, units) if len(at) else h
-            ints = [pa.array(x.astype(np.int32)) for x in (at - parsed.offsets[of], at - lo, hi - at)]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), _take(batch.column("id"), of), *ints], ["key", "ctx", "id", "pos", "before", "behind"])
+            ctx = context_hashes(gram_hashes(parsed.values, units.gram), at, lo, hi, units)
+            order = np.lexsort((ctx, h))
+            at, h, of, lo, hi, ctx = (x[order] for x in (at, h, of, lo, hi, ctx))
+            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])])
+            places = np.empty(len(at), _PLACE)
+            places["id"], places["pos"] = batch.column("id").to_numpy()[of], at - parsed.offsets[of]
+            ends = np.r_[first, len(at)].astype(np.int32) * _PLACE.itemsize
+            packed_ = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(places.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(ctx[first].view(np.int64)), pa.array((at - lo)[first].astype(np.int32)), pa.array((hi - at)[first].astype(np.int32)), packed_], ["key", "ctx", "before", "behind", "places"])
+
+    return docs.filter("id is not null").mapInArrow(run, _PLACED)
+
+
+def _unfolded(places: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All places, and how many each element has."""
+    data, offsets = flat_bytes(places)
+    return np.frombuffer(data.tobytes(), _PLACE), np.diff(offsets) // _PLACE.itemsize
 
-    return docs.mapInArrow(run, "key long, ctx long, id long, pos int, before int, behind int").filter("id is not null")
 
+def _each_place(placed: DataFrame) -> DataFrame:
+    """A row for each place: key, ctx, id, pos, lo, hi."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, n = _unfolded(batch.column("places"))
+            key, ctx, before, behind = (np.repeat(batch.column(c).to_numpy(), n) for c in ("key", "ctx", "before", "behind"))
+            pos = place["pos"].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ctx, place["id"].copy(), pos, pos - before, pos + behind)], ["key", "ctx", "id", "pos", "lo", "hi"])
+
+    return placed.mapInArrow(run, "key long, ctx long, id long, pos int, lo int, hi int")
 
-def _judged(grouped: DataFrame, keep_first: bool) -> DataFrame:
-    """What the anchors of one k-gram say: id, lo, hi, key, and ask: null for a range to remove, else whether the context occurs again.
 
-    Input: key, seen (array of ctx, id, pos, before, behind), bounded by `crowd`. Of each context that occurs again all
-    places, or all but the first, are to remove; if there are several contexts, the first place of each has to be compared.
+def _judged(grouped: DataFrame, keep_first: bool, most_kinds: int) -> DataFrame:
+    """What the places of one k-gram say: id, lo, hi, key, ask, hot; ask is null for a range to remove.
+
+    Input: key, seen (array of ctx, before, behind, places), bounded by `crowd`. Of each context that occurs again all
+    places, or all but the first, are to remove. If there are several contexts, the first place of each has to be
+    compared: ask says whether the context occurs again, hot that there are more than `most_kinds` contexts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = batch.column("seen")
-            row = np.repeat(np.arange(len(batch)), pc.list_value_length(seen).to_numpy(zero_copy_only=False))
             flat = seen.flatten()
-            ctx, ids, pos, before, behind = (flat.field(x).to_numpy() for x in ("ctx", "id", "pos", "before", "behind"))
+            place, n = _unfolded(flat.field("places"))
+            row = np.repeat(np.repeat(np.arange(len(batch)), pc.list_value_length(seen).to_numpy(zero_copy_only=False)), n)
+            ctx, before, behind = (np.repeat(flat.field(x).to_numpy(), n) for x in ("ctx", "before", "behind"))
+            ids, pos = place["id"], place["pos"]
             order = np.lexsort((pos, ids, ctx, row))
             row, ctx, ids, pos, before, behind = (x[order] for x in (row, ctx, ids, pos, before, behind))
-            new_row = np.r_[True, row[1:] != row[:-1]][: len(row)]
-            first = new_row | np.r_[True, ctx[1:] != ctx[:-1]][: len(row)]
+            first = np.r_[True, (row[1:] != row[:-1]) | (ctx[1:] != ctx[:-1])][: len(row)]
+            single = first | np.r_[True, (ids[1:] != ids[:-1]) | (pos[1:] != pos[:-1])][: len(row)]  # a row that repeats is one place
             group = np.cumsum(first) - 1
-            place = first | np.r_[True, (ids[1:] != ids[:-1]) | (pos[1:] != pos[:-1])][: len(row)]  # a row that repeats is one place
-            many = (np.bincount(group, place) > 1)[group] if len(group) else first
+            many = (np.bincount(group, single) > 1)[group] if len(group) else first
             kinds = np.bincount(row[first], minlength=len(batch))[row]
-            remove = many & place & (~first if keep_first else True)
+            remove = many & single & (~first if keep_first else True)
             ask = first & (kinds > 1)
-            keys = batch.column("key").to_numpy()[row]
             pick = np.r_[np.flatnonzero(remove), np.flatnonzero(ask)]
             verdict = [None] * int(remove.sum()) + many[ask].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[pick]), pa.array((pos - before)[pick].astype(np.int32)), pa.array((pos + behind)[pick].astype(np.int32)), pa.array(keys[pick]), pa.array(verdict, pa.bool_())], ["id", "lo", "hi", "key", "ask"])
+            hot = np.r_[np.zeros(int(remove.sum()), bool), kinds[ask] > most_kinds]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[pick].copy()), pa.array((pos - before)[pick].astype(np.int32)), pa.array((pos + behind)[pick].astype(np.int32)), pa.array(batch.column("key").to_numpy()[row][pick]), pa.array(verdict, pa.bool_()), pa.array(hot)], ["id", "lo", "hi", "key", "ask", "hot"])
 
-    return grouped.mapInArrow(run, "id long, lo int, hi int, key long, ask boolean")
+    return grouped.mapInArrow(run, "id long, lo int, hi int, key long, ask boolean, hot boolean")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -205,17 +244,17 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches with their texts' bytes again, a few megabytes at a time."""
+    """Batches with their texts' bytes again, some at a time."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    for batch in chunks(batches, most=KERNEL_BYTES // 3):
+    for batch in chunks(batches, most=ANCHOR_BYTES // 2):
         texts = pa.array([unpack(x) for x in batch.column("text").to_pylist()], pa.large_binary())
         yield batch.set_column(batch.schema.get_field_index("text"), "text", texts)
 
 
 def snippets(asked: DataFrame, units: Units) -> DataFrame:
-    """The bytes of unit ranges. Input: id, text, asked (array of key, lo, hi, many, hot)."""
+    """The bytes of unit ranges. Input: id, text, asked (array of key, lo, hi, many)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in unpacked(batches):
@@ -224,25 +263,25 @@ def snippets(asked: DataFrame, units: Units) -> DataFrame:
             of = np.repeat(np.arange(len(batch)), pc.list_value_length(rows).to_numpy(zero_copy_only=False))
             flat = rows.flatten()
             lo, hi = (np.minimum(flat.field(x).to_numpy() + parsed.offsets[of], parsed.offsets[of + 1]) for x in ("lo", "hi"))
-            yield pa.RecordBatch.from_arrays([flat.field("key"), _take(batch.column("id"), of), flat.field("lo"), flat.field("many"), flat.field("hot"), pa.array([parsed.span(a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())], ["key", "id", "lo", "many", "hot", "part"])
+            yield pa.RecordBatch.from_arrays([flat.field("key"), _take(batch.column("id"), of), flat.field("lo"), flat.field("many"), pa.array([parsed.span(a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())], ["key", "id", "lo", "many", "part"])
 
-    return asked.mapInArrow(run, "key long, id long, lo int, many boolean, hot boolean, part binary")
+    return asked.mapInArrow(run, "key long, id long, lo int, many boolean, part binary")
 
 
-#: Places of one k-gram that a task judges; those of a more frequent one are counted with partial sums.
-CROWD = 4096
-#: So many frequent k-grams, 16 bytes each, are broadcast to tell them apart before the shuffle.
+#: Places of one k-gram that a task judges, 16 bytes each; those of a more frequent one are counted with partial sums.
+CROWD = 65_536
+#: So many frequent k-grams, 8 bytes each, are broadcast to tell them apart before the shuffle.
 BROADCAST_KEYS = 500_000
 
 
-def settled(docs: DataFrame, units: Units, keep_first: bool, compare: Callable[[DataFrame], DataFrame], crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+def settled(docs: DataFrame, units: Units, keep_first: bool, compare: Callable[[DataFrame], DataFrame], crowd: int = CROWD, most_kinds: int = 4096) -> tuple[DataFrame, DataFrame]:
     """Packed texts by id (id, text, hash-partitioned), and unit ranges to remove (id, lo, hi).
 
     keep_first: a window goes if an equal one starts earlier, by (id, position); else if an equal one starts anywhere
-    else. `compare` gets the snippets (key, id, lo, many, part) of anchors with different contexts, `many` for contexts
-    that occur more than once, and returns ranges. k-grams with more than `crowd` places, of a page that is copied ever
-    again or a frequent line in ever new surroundings, take another way: their contexts are counted with partial sums,
-    and where these differ the windows in them, by their digests.
+    else. `compare` gets the snippets (key, id, lo, many, part) of anchors with different contexts, up to `most_kinds`
+    of them, `many` for contexts that occur more than once, and returns ranges. Where more contexts share an anchor, as
+    in a frequent line with ever new surroundings, their windows are counted by digests. k-grams with more than `crowd`
+    places never meet in a task: their contexts are counted with partial sums.
     """
     spark = docs.sparkSession
     arrow_setup(spark)
@@ -250,24 +289,31 @@ def settled(docs: DataFrame, units: Units, keep_first: bool, compare: Callable[[
     counts = checkpointed(_counted(docs, units))
     release(spark)
     frequent = counts.filter(F.col("n") > crowd).select("key")
-    small = frequent.count() <= BROADCAST_KEYS
-    sized = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+    crowded = frequent.count()
+    sized = (lambda df: F.broadcast(df)) if crowded <= BROADCAST_KEYS else (lambda df: df)
     placed = _placed(docs, units)
-    usual = placed.join(sized(frequent), "key", "left_anti").join(counts.select("key"), "key")
-    verdicts = checkpointed(_judged(usual.groupBy("key").agg(F.collect_list(F.struct("ctx", "id", "pos", "before", "behind")).alias("seen")), keep_first))
+    usual = (placed.join(sized(frequent), "key", "left_anti") if crowded else placed).join(counts.select("key"), "key")
+    seen = usual.groupBy("key").agg(F.collect_list(F.struct("ctx", "before", "behind", "places")).alias("seen"))
+    verdicts = checkpointed(_judged(seen, keep_first, most_kinds))
+    del usual, seen
     release(spark)
     full = verdicts.filter("ask is null").select("id", "lo", "hi")
-    asks = verdicts.filter("ask is not null").select("id", F.struct("key", "lo", "hi", F.col("ask").alias("many"), F.lit(False).alias("hot")).alias("ask"))
-    if not frequent.isEmpty():
-        hot = placed.join(sized(frequent), "key", "left_semi").select("key", "ctx", "id", "pos", (F.col("pos") - F.col("before")).alias("lo"), (F.col("pos") + F.col("behind")).alias("hi"))
+    asks = verdicts.filter("ask is not null").select("id", "hot", F.struct("key", "lo", "hi", F.col("ask").alias("many")).alias("ask"))
+    if crowded:
+        hot = _each_place(placed.join(sized(frequent), "key", "left_semi"))
         each = checkpointed(hot.groupBy("key", "ctx").agg(F.min(F.struct("id", "pos", "lo", "hi")).alias("first"), F.max(F.struct("id", "pos")).alias("last")))
         again = F.expr("first.id <> last.id or first.pos <> last.pos")
         copies = hot.join(each.filter(again).select("key", "ctx", "first"), ["key", "ctx"])
         full = full.union((copies.filter("id <> first.id or pos <> first.pos") if keep_first else copies).select("id", "lo", "hi"))
-        asks = asks.union(each.select("first.id", F.struct("key", "first.lo", "first.hi", again.alias("many"), F.lit(True).alias("hot")).alias("ask")))
+        asks = asks.union(each.select("first.id", F.lit(True).alias("hot"), F.struct("key", "first.lo", "first.hi", again.alias("many")).alias("ask")))
     texts = packed(docs).repartition(n, "id")
-    parts = snippets(texts.join(asks.groupBy("id").agg(F.collect_list("ask").alias("asked")), "id").select("id", "text", "asked"), units)
-    ranges = full.union(compare(parts.filter("not hot").drop("hot"))) if frequent.isEmpty() else full.union(compare(parts.filter("not hot").drop("hot"))).union(_by_windows(parts.filter("hot").drop("hot"), units, keep_first))
+
+    def parts(which: DataFrame) -> DataFrame:
+        return snippets(texts.join(which.groupBy("id").agg(F.collect_list("ask").alias("asked")), "id").select("id", "text", "asked"), units)
+
+    ranges = full.union(compare(parts(asks.filter("not hot"))))
+    if crowded or not asks.filter("hot").isEmpty():
+        ranges = ranges.union(_by_windows(parts(asks.filter("hot")), units, keep_first))
     return texts, ranges
 
 
@@ -278,7 +324,7 @@ def _by_windows(parts: DataFrame, units: Units, keep_first: bool) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "part", KERNEL_BYTES // 4):
+        for batch in chunks(batches, "part", ANCHOR_BYTES):
             parsed = units.parse(batch.column("part"))
             w = units.length - units.gram + 1
             room = np.repeat(parsed.offsets[1:], np.diff(parsed.offsets)) - np.arange(len(parsed.values))

@@ -128,7 +128,7 @@ def _matched_parts(parts: DataFrame, length: int) -> DataFrame:
     return parts.repartition("key").sortWithinPartitions("key").select("key", "id", "lo", "many", "part").mapInArrow(run, "id long, lo int, hi int")
 
 
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = False, crowd: int = CROWD) -> DataFrame:
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = False, crowd: int = CROWD, most_kinds: int = 1024) -> DataFrame:
     """One row per document: id, n_words, n_removed, n_spans, kept_sha256, on request kept_text.
 
     Every word goes that a window of `length` words covers whose words also start anywhere else, in this document or
@@ -142,5 +142,5 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     units = Units("words", length, gram)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts, ranges = settled(base, units, False, lambda parts: _matched_parts(parts, length), crowd)
+    texts, ranges = settled(base, units, False, lambda parts: _matched_parts(parts, length), crowd, most_kinds)
     return without(texts, ranges, units, id_col, with_text)

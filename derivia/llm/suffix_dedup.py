@@ -15,7 +15,7 @@ from derivia.llm.repeats import CROWD, Units, flat_bytes, groups_of, merged_rang
 #: Bytes of a repeat, and of the k-grams that anchor it.
 LENGTH, GRAM = 100, 24
 #: Bytes of snippets that are sorted together.
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 18
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -34,7 +34,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     width = int(s.max()) + 1
     if width < 1 << 21:
         key = (a * width + b) * width + c
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         fresh = key[1:] != key[:-1]
     else:
@@ -51,7 +51,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     sample = sample[order]
     rest = np.arange(0, n, 3)
     wide = np.int64(len(sample) + 2)
-    rest = rest[np.argsort(s[rest] * wide + rank[rest + 1], kind="stable")]
+    rest = rest[np.argsort(s[rest] * wide + rank[rest + 1])]
     first, second = sample[sample % 3 == 1], sample[sample % 3 == 2]
     key = lambda i: s[i] * wide + rank[i + 1]
     before = np.searchsorted(key(first), key(rest))
@@ -110,7 +110,7 @@ def _sorted_parts(parts: DataFrame, length: int) -> DataFrame:
     return parts.repartition("key").sortWithinPartitions("key").select("key", "id", "lo", "part").mapInArrow(run, "id long, lo int, hi int")
 
 
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = False, crowd: int = CROWD) -> DataFrame:
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = False, crowd: int = CROWD, most_kinds: int = 32_768) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, on request kept_text.
 
     Every byte goes that a string of `length` bytes covers which also starts earlier: in a document of smaller id, or
@@ -124,5 +124,5 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     units = Units("bytes", length, gram)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts, ranges = settled(base, units, True, lambda parts: _sorted_parts(parts, length), crowd)
+    texts, ranges = settled(base, units, True, lambda parts: _sorted_parts(parts, length), crowd, most_kinds)
     return without(texts, ranges, units, id_col, with_text)

@@ -56,18 +56,21 @@ def documents():
     return docs + [(i, f"{text(20)}\n{line}\n{text(20)}") for i in range(40, 70)]
 
 
-@pytest.mark.parametrize("crowd", [2000, 3])
-def test_words(spark, crowd):
+OPTIONS = [{}, {"crowd": 3}, {"most_kinds": 3}]
+
+
+@pytest.mark.parametrize("options", OPTIONS)
+def test_words(spark, options):
     docs = documents()
-    got = substring_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), crowd=crowd, with_text=True).collect()
+    got = substring_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), **options, with_text=True).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == by_words(docs, 35)
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got)
 
 
-@pytest.mark.parametrize("crowd", [2000, 3])
-def test_bytes(spark, crowd):
+@pytest.mark.parametrize("options", OPTIONS)
+def test_bytes(spark, options):
     docs = documents()
-    got = suffix_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), crowd=crowd).collect()
+    got = suffix_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), **options).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == by_bytes(docs, 100)
 
 
