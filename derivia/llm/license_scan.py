@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -29,11 +30,6 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
-#: A line with one of these may belong to a license.
-MARKS = r"(?i)licen[sc]|copyright|permission|redistribut|warrant|public domain|\bGPL|\bMPL|\bCC BY"
-#: Lines without a mark that a block may hold between lines with one.
-GAP = 3
-
 _TOKEN = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 
@@ -42,20 +38,6 @@ def wording(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
-def blocks(text: str) -> Iterator[tuple[int, int, str]]:
-    """First line, last line and text of each candidate block: lines with a mark and short gaps between them."""
-    lines = text.split("\n")
-    marked = [i for i, line in enumerate(lines) if re.search(MARKS, line)]
-    first = last = None
-    for i in [*marked, None]:
-        if last is not None and (i is None or i - last > GAP + 1):
-            yield first, last, "\n".join(lines[first : last + 1])
-            first = None
-        if first is None:
-            first = i
-        last = i
-
-
 class Scanner:
     """Templates as raw dictionaries for the compressor."""
 
@@ -64,74 +46,107 @@ class Scanner:
 
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
         self.known = {k: zstandard.ZstdCompressor(level=level, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(v.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, v in templates.items()}
-        self.words = {k: wording(v) for k, v in templates.items()}
+        self.words = {k: x for k, v in templates.items() if (x := wording(v))}
         self.least, self.missing = least_reduction, most_missing
+        self.code = {w: i for i, w in enumerate(sorted({w for x in self.words.values() for w in x}), 1)}  # 0: in no template
+        self.counts = np.array([np.bincount([self.code[w] for w in x], minlength=len(self.code) + 1) for x in self.words.values()]).reshape(len(self.words), -1)
+        self.need = np.array([len(x) - int(most_missing * len(x)) for x in self.words.values()])
 
-    def reduction(self, name: str, part: bytes) -> float:
-        """By what share of its compressed size the part shrinks when the template is known."""
+    def saved(self, name: str, part: bytes) -> tuple[int, float]:
+        """By how many bytes, and what share of its compressed size, the part shrinks when the template is known."""
         alone = len(self.plain.compress(part))
-        return (alone - len(self.known[name].compress(part))) / alone
+        less = alone - len(self.known[name].compress(part))
+        return less, less / alone
 
     def pad(self, name: str) -> int:
         """Words that a license in the text may have more than its template."""
         return max(4, len(self.words[name]) // 2)
 
-    def windows(self, name: str, block: list[str]) -> Iterator[tuple[int, int]]:
-        """Stretches of the block that hold most of the template's word pairs."""
+    def aligned(self, name: str, words: list[str], a: int, b: int) -> tuple[int, int, int] | None:
+        """First and last word, and words held, of the template in words a to b; None where too many are missing."""
         template = self.words[name]
-        width = len(template) + self.pad(name)
-        if len(block) <= width:
-            yield 0, len(block)
-            return
-        pairs = set(zip(template, template[1:]))
-        inside = np.fromiter(map(pairs.__contains__, zip(block, block[1:])), bool, len(block) - 1)
+        most = self.missing * len(template)
+        if len(template) - (Counter(words[a:b]) & Counter(template)).total() > most:
+            return None
+        same = [m for m in difflib.SequenceMatcher(None, words[a:b], template, autojunk=False).get_matching_blocks() if m.size]
+        held = sum(m.size for m in same)
+        return (a + same[0].a, a + same[-1].a + same[-1].size, held) if held and len(template) - held <= most else None
+
+    def stretches(self, k: int, name: str, words: list[str], codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Stretches of the words, apart from each other, that hold the template's words in order, and how many.
+
+        Every window that has enough words of the template is tried, or lies in one that was; those with most of its
+        word pairs come first.
+        """
+        template, pad, need, words = self.words[name], self.pad(name), self.need[k], list(words)
+        width, n = len(template) + pad, len(words)
+        starts = np.arange(max(1, n - width + 1))
+        ends = np.minimum(starts + width, n)
+        inside = (self.counts[k] > 0)[codes]
         sums = np.r_[0, np.cumsum(inside)]
-        held = sums[width - 1 :] - sums[: len(sums) - width + 1]
-        while True:
-            at = int(np.argmax(held))
-            if held[at] < max(1, len(pairs) // 2):
-                return
-            yield at, min(at + width, len(block))
-            held[max(0, at - width + 1) : at + width] = -1
+        held = sums[ends] - sums[starts]
+        size = len(self.code) + 1
+        own = np.array([self.code[w] for w in template])
+        pairs = np.r_[0, np.cumsum(np.isin(codes[:-1] * size + codes[1:], own[:-1] * size + own[1:]))]
+        tried = np.flatnonzero(held >= need)
+        tried = tried[np.argsort(pairs[starts[tried]] - pairs[np.maximum(ends[tried] - 1, starts[tried])], kind="stable")]
+        for at in tried.tolist():
+            if held[at] < need:
+                continue
+            a, b = at, int(ends[at])
+            found = self.aligned(name, words, a, b)
+            if found is None or found[2] < len(template):
+                wide = self.aligned(name, words, max(0, a - pad), min(n, b + pad))
+                if wide and (found is None or (wide[2] > found[2] and wide[1] - wide[0] <= width)):
+                    found = wide
+            if found is None:
+                held[max(0, at - pad) : at + pad + 1] = 0
+                continue
+            lo, hi, _ = found
+            yield found
+            words[lo:hi] = [""] * (hi - lo)
+            inside[lo:hi] = False
+            first, last = max(0, lo - width + 1), min(len(starts), hi)
+            sums = np.r_[0, np.cumsum(inside[first : min(n, last + width)])]
+            left = sums[ends[first:last] - first] - sums[starts[first:last] - first]
+            held[first:last] = np.minimum(held[first:last], left)
 
     def scan(self, text: str) -> list[tuple[int, int, str, float, int, int]]:
         """First line, last line, license, reduction, template words missing, words put in between, of each finding."""
+        words = [w.lower() for w in _TOKEN.findall(text)]
+        get = self.code.get
+        codes = np.array([get(w, 0) for w in words], np.int64)
+        has = np.bincount(codes, minlength=len(self.code) + 1)
+        likely = np.flatnonzero(np.minimum(self.counts, has).sum(1) >= self.need)
+        if not len(likely):
+            return []
+        names, spans = list(self.words), [m.span() for m in _TOKEN.finditer(text)]
+        ranked = []
+        for k in likely.tolist():
+            name = names[k]
+            for lo, hi, held in self.stretches(k, name, words, codes):
+                less, share = self.saved(name, text[spans[lo][0] : spans[hi - 1][1]].encode())
+                if share >= self.least:
+                    ranked.append((-less, -share, name, lo, hi, held))
         out = []
-        for first, last, block in blocks(text):
-            spans = [m.span() for m in _TOKEN.finditer(block)]
-            words = [block[a:b].lower() for a, b in spans]
-            if not words:
+        taken = np.zeros(len(words), bool)
+        for _, share, name, lo, hi, held in sorted(ranked):
+            if taken[lo:hi].any():
                 continue
-            ranked = []
-            for name in self.known:
-                for a, b in self.windows(name, words):
-                    part = block[spans[a][0] : spans[b - 1][1]].encode()
-                    if (r := self.reduction(name, part)) >= self.least:
-                        ranked.append((-r, name, max(0, a - self.pad(name)), b + self.pad(name)))
-            taken = np.zeros(len(words), bool)
-            for r, name, a, b in sorted(ranked):
-                template = self.words[name]
-                same = [m for m in difflib.SequenceMatcher(None, words[a:b], template, autojunk=False).get_matching_blocks() if m.size]
-                if not same:
-                    continue
-                lo, hi = a + same[0].a, a + same[-1].a + same[-1].size
-                held = sum(m.size for m in same)
-                if len(template) - held > self.missing * len(template) or taken[lo:hi].any():
-                    continue
-                taken[lo:hi] = True
-                begin = first + block.count("\n", 0, spans[lo][0])
-                out.append((begin, first + block.count("\n", 0, spans[hi - 1][1]), name, round(-r, 4), len(template) - held, hi - lo - held))
+            taken[lo:hi] = True
+            begin = text.count("\n", 0, spans[lo][0])
+            out.append((begin, begin + text.count("\n", spans[lo][0], spans[hi - 1][1]), name, round(-share, 4), len(self.words[name]) - held, hi - lo - held))
         return sorted(out)
 
 
 def scanned(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per confirmed finding: id, first_line, last_line, license, reduction, n_missing, n_added.
 
-    Candidate blocks are lines with a license word and up to three lines between two such. Each is compressed with
-    every template as raw dictionary; templates are tried in the order of size reduction, and one is confirmed if at
-    most a tenth of its words is missing from the block, in order, and no better one holds these words. The templates
-    are constants of the program. Documents without a finding have no row; null and empty texts have none; repeated
-    rows are reported each.
+    Line breaks and other marks between words do not matter. Every stretch of a text with enough of a template's words
+    is aligned with it, and held if at most a tenth of its words is missing, in order. Each is compressed with the
+    template as raw dictionary; of those that shrink by a quarter the ones that save most bytes come first, and one
+    counts if no better one holds its words. The templates are constants of the program. Documents without a finding
+    have no row; null and empty texts have none; repeated rows are reported each.
     """
     arrow_setup(docs.sparkSession)
     templates = dict(templates)
@@ -146,5 +161,4 @@ def scanned(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, *, id_col
                 yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(row)), ints[0], ints[1], pa.array(name), pa.array(reduction), ints[2], ints[3]], [id_col, "first_line", "last_line", "license", "reduction", "n_missing", "n_added"])
 
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, first_line long, last_line long, license string, reduction double, n_missing long, n_added long"
-    marked = docs.select(F.col(id_col), F.col(text_col).alias("text")).filter(F.col("text").rlike(MARKS))
-    return marked.mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).alias("text")).filter("text <> ''").mapInArrow(run, schema)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from datetime import date
 
 import numpy as np
@@ -77,6 +78,24 @@ def test_license_scan(spark):
     assert license_scan.scanned(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("columns", [40, 72, 80])
+@pytest.mark.parametrize("mark", ["", "# "])
+def test_license_scan_of_wrapped_texts(columns, mark):
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    for name, template in license_scan.TEMPLATES.items():
+        lines = textwrap.wrap(template, columns, initial_indent=mark, subsequent_indent=mark)
+        for before in ([], ["some plain words of a text"] * 9):
+            got = scanner.scan("\n".join([*before, *lines, "", "more plain words"]))
+            assert [x[:3] for x in got] == [(len(before), len(before) + len(lines) - 1, name)]
+
+
+def test_license_scan_of_neighbours():
+    t = license_scan.TEMPLATES
+    parts = [t["ISC"], t["ISC"].replace("for any purpose", "for each purpose"), t["MIT-notice"], t["MIT-notice"], t["MPL-2.0"]]
+    got = license_scan.Scanner(t).scan("\n".join(parts))
+    assert [(*x[:3], x[4]) for x in got] == [(0, 0, "ISC", 0), (1, 1, "ISC", 1), (2, 2, "MIT-notice", 0), (3, 3, "MIT-notice", 0), (4, 4, "MPL-2.0", 0)]
+
+
 def statistics(text):
     w = WORD.findall(text or "")
     first, hit = {}, set()
