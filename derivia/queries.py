@@ -515,7 +515,7 @@ def cart_chain(spark, d):
     from derivia.operators.synthesize import ChainedSynthesizer
 
     order = dv.Empirical(donors, order_by=["l_orderkey", "l_linenumber"])
-    chain = ChainedSynthesizer([CARTSynthesizer(["l_returnflag", "l_linestatus"], structure=order, fit_cap=20_000), CARTSynthesizer(["l_quantity"], predictors=["l_returnflag", "l_linestatus"], structure=order, fit_cap=20_000, label="second")])
+    chain = ChainedSynthesizer([CARTSynthesizer(["l_returnflag", "l_linestatus"], structure=order), CARTSynthesizer(["l_quantity"], predictors=["l_returnflag", "l_linestatus"], structure=order, label="second")])
     return _run(schema, "t", synthesizer=chain)
 
 

@@ -1,5 +1,7 @@
 """Trees, donors, structure sources, modes."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -70,6 +72,32 @@ def test_fit_cap_and_ordering(spark):
     assert facts["sampled"] and 50 < facts["fit_rows"] <= 100
 
 
+def test_chain_query_draws_from_all_donors(spark, tmp_path):
+    from derivia import queries
+    from derivia.functions.derive import hash_key
+
+    rows = 21_000
+    i = np.arange(rows)
+    flag, status = i % 3, (i % 7 < 1 + 2 * (i % 3)).astype(int)
+    frame = pd.DataFrame({"l_orderkey": i // 4 + 1, "l_linenumber": i % 4 + 1, "l_returnflag": np.array(["A", "N", "R"])[flag], "l_linestatus": np.array(["F", "O"])[status], "l_quantity": 1e6 * flag + 3e5 * status + i})
+    spark.createDataFrame(frame).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k,) for k in range(400)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+
+    def draw(key, column, digits):
+        return int(hashlib.md5((hash_key(queries.SEED, f"synth\0t\0{column}") + key).encode()).hexdigest()[:digits], 16)
+
+    def donated(group, key, column):
+        return group[column].iloc[int(draw(key, column, 13) / 2**52 * len(group))]
+
+    flags, pairs = dict(tuple(frame.groupby("l_returnflag"))), dict(tuple(frame.groupby(["l_returnflag", "l_linestatus"])))
+    want = []
+    for key in (f"person:{k}" for k in range(400)):
+        f = frame["l_returnflag"].iloc[draw(key, "l_returnflag", 16) % rows]
+        s = donated(flags[f], key, "l_linestatus")
+        want.append((f, s, donated(pairs[f, s], key, "l_quantity")))
+    assert sorted(map(tuple, queries.QUERIES["cart_chain"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_text_numbers_and_nulls(spark):
     frame = pd.DataFrame({"education": ["HS", None, "College"] * 40, "amount": [str(i) for i in range(120)]})
     sch = dv.Schema([dv.Entity("person", 200, {"education": EDU})], [dv.Table("t", "person", {"amount": "0"}, ["education"])], 7)
