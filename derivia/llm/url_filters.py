@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Path segments that a prefix entry names at most.
-SEGMENTS = 3
-
 
 def host_of(url: Column) -> Column:
     """The lower-case host of an absolute URL, null where there is none."""
@@ -15,14 +12,14 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", F.rtrim(host, F.lit(".")))
 
 
-def keys_of(url: Column, segments: int = SEGMENTS) -> Column:
-    """What list entries a URL can meet: its host, the domains above it of two labels at least, and host/path prefixes."""
+def keys_of(url: Column) -> Column:
+    """What list entries a URL can meet: its host, the domains above it of two labels at least, and all host/path prefixes."""
     host = host_of(url)
     labels = F.split(host, r"\.")
     n = F.size(labels)
     domains = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))
     path = F.filter(F.split(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1), "/"), lambda x: x != "")
-    prefixes = F.when(F.size(path) > 0, F.transform(F.sequence(F.lit(1), F.least(F.size(path), F.lit(segments))), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(path, F.lit(1), i), "/"))))
+    prefixes = F.when(F.size(path) > 0, F.transform(F.sequence(F.lit(1), F.size(path)), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(path, F.lit(1), i), "/"))))
     return F.when(host.isNotNull(), F.concat(domains, F.coalesce(prefixes, F.array().cast("array<string>"))))
 
 

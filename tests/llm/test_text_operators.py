@@ -156,6 +156,14 @@ def test_url_filter(spark):
     assert url_filters.filtered(df.limit(0), spark.createDataFrame(entries, "key string, action string, listed_at date")).count() == 0
 
 
+def test_url_filter_meets_deep_entries(spark):
+    entries = [("bad.com/a/b", "block", date(2024, 1, 1)), ("bad.com/a/b/c/d/e", "allow", date(2024, 1, 1)), ("bad.com/a/b/c/d/e/f/g", "block", date(2024, 1, 1))]
+    urls = ["http://bad.com/a/b/c/d", "http://bad.com/a/b/c/d/e?q", "http://bad.com/a/b/c/d/e/f", "http://bad.com/a/b/c/d/e/f/g/h/i"]
+    df = spark.createDataFrame([(i, u, date(2024, 1, 2)) for i, u in enumerate(urls)], "page_id long, url string, fetched_at date")
+    got = url_filters.filtered(df, spark.createDataFrame(entries, "key string, action string, listed_at date")).collect()
+    assert sorted((r.page_id, r.blocked, r.rule) for r in got) == [(0, True, "bad.com/a/b"), (1, False, "bad.com/a/b/c/d/e"), (2, False, "bad.com/a/b/c/d/e"), (3, True, "bad.com/a/b/c/d/e/f/g")]
+
+
 def water(sizes, weights, share, most):
     order = sorted(sizes, key=lambda s: (s is None, s))
     w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
