@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Copies of equal captures that one array holds.
+RUN = 10_000
+
 
 def host_of(url: Column) -> Column:
     """The lower-case host of an absolute URL, null where there is none."""
@@ -41,18 +44,21 @@ def filtered(captures: DataFrame, entries: DataFrame, *, id_col: str = "page_id"
     """One row per capture: id, host, fetch time, blocked, rule, active_from.
 
     The entry of the longest key that was active at the fetch time decides: `block` blocks, any other action lets the
-    capture pass. Without such an entry, host or fetch time it passes and rule is null. Equal captures get equal rows
-    (the id must tell captures apart). The join is an equi-join on the key with the interval as a condition: at most
+    capture pass. Without such an entry, host or fetch time it passes and rule is null. Repeated captures and those
+    without an id have a row each: equal ones are judged once and come out as often as they went in. The join is an equi-join on the key with the interval as a condition: at most
     one interval of a key holds at a time, so it makes no more rows than captures have keys, and the engine may
     broadcast the list where its size is known to be small or split a hot host's captures.
     """
     base = captures.select(F.col(id_col).alias("__id"), F.col(time_col).alias("__at"), F.col(url_col).alias("__url"))
-    keyed = base.select("__id", "__at", host_of(F.col("__url")).alias("host"), F.explode_outer(keys_of(F.col("__url"))).alias("__key"))
+    keyed = base.select("__id", "__at", "__url", host_of(F.col("__url")).alias("host"), F.posexplode_outer(keys_of(F.col("__url"))).alias("__pos", "__key"))
     spans = validity(entries)
     active = (F.col("__key") == F.col("key")) & (F.col("active_from") <= F.col("__at")) & (F.col("active_to").isNull() | (F.col("__at") < F.col("active_to")))
     met = keyed.join(spans, active, "left")
     best = F.max(F.when(F.col("key").isNotNull(), F.struct(F.length("key").alias("n"), F.col("key").alias("key"), F.col("action").alias("action"), F.col("active_from").alias("active_from")))).alias("best")
-    out = met.groupBy("__id", "__at", "host").agg(best)
+    times = F.count_if(F.coalesce("__pos", F.lit(0)) == 0).alias("times")
+    out = met.groupBy("__id", "__at", "__url", "host").agg(best, times)
+    out = out.withColumn("__run", F.explode(F.sequence(F.lit(0), F.floor((F.col("times") - 1) / RUN).cast("int"))))
+    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(RUN), F.col("times") - F.col("__run").cast("long") * RUN).cast("int"))))
     return out.select(
         F.col("__id").alias(id_col), "host", F.col("__at").alias(time_col),
         F.coalesce(F.col("best.action") == "block", F.lit(False)).alias("blocked"),

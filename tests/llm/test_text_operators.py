@@ -164,6 +164,19 @@ def test_url_filter_meets_deep_entries(spark):
     assert sorted((r.page_id, r.blocked, r.rule) for r in got) == [(0, True, "bad.com/a/b"), (1, False, "bad.com/a/b/c/d/e"), (2, False, "bad.com/a/b/c/d/e"), (3, True, "bad.com/a/b/c/d/e/f/g")]
 
 
+@pytest.mark.parametrize("run", [2, 10_000])
+def test_url_filter_keeps_every_capture(spark, monkeypatch, run):
+    monkeypatch.setattr(url_filters, "RUN", run, raising=False)
+    bad, ok, day = "http://bad.com/a/b", "http://bad.com/ok/x", date(2024, 1, 2)
+    rows = [(1, bad, day)] * 3 + [(1, ok, day), (1, bad, None), (2, bad, day)] + [(None, bad, day)] * 4 + [(None, ok, day)] * 5 + [(None, bad, None)] * 2 + [(None, None, None)] * 3 + [(3, "no url", day)] * 2
+    entries = [("bad.com", "block", date(2024, 1, 1)), ("bad.com/ok", "allow", date(2024, 1, 1))]
+    rule = lambda url, at: ("bad.com" if url == bad else "bad.com/ok" if url == ok else None) if at else None
+    want = [(i, at, rule(url, at) == "bad.com", rule(url, at)) for i, url, at in rows]
+    df = spark.createDataFrame(rows, "page_id long, url string, fetched_at date")
+    got = url_filters.filtered(df, spark.createDataFrame(entries, "key string, action string, listed_at date")).collect()
+    assert sorted(map(str, want)) == sorted(str((r.page_id, r.fetched_at, r.blocked, r.rule)) for r in got)
+
+
 def water(sizes, weights, share, most):
     order = sorted(sizes, key=lambda s: (s is None, s))
     w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
