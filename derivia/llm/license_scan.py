@@ -24,6 +24,8 @@ TEMPLATES: dict[str, str] = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-2.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
@@ -50,6 +52,7 @@ class Scanner:
         self.least, self.missing = least_reduction, most_missing
         self.code = {w: i for i, w in enumerate(sorted({w for x in self.words.values() for w in x}), 1)}  # 0: in no template
         self.counts = np.array([np.bincount([self.code[w] for w in x], minlength=len(self.code) + 1) for x in self.words.values()]).reshape(len(self.words), -1)
+        self.numbers = {k: {w for w in x if re.fullmatch(r"[\d.]+", w)} for k, x in self.words.items()}
         self.need = np.array([len(x) - int(most_missing * len(x)) for x in self.words.values()])
 
     def saved(self, name: str, part: bytes) -> tuple[int, float]:
@@ -63,14 +66,16 @@ class Scanner:
         return max(4, len(self.words[name]) // 2)
 
     def aligned(self, name: str, words: list[str], a: int, b: int) -> tuple[int, int, int] | None:
-        """First and last word, and words held, of the template in words a to b; None where too many are missing."""
+        """First word, end and words held of the template in words a to b; None where too many or a version number are missing."""
         template = self.words[name]
         most = self.missing * len(template)
         if len(template) - (Counter(words[a:b]) & Counter(template)).total() > most:
             return None
         same = [m for m in difflib.SequenceMatcher(None, words[a:b], template, autojunk=False).get_matching_blocks() if m.size]
         held = sum(m.size for m in same)
-        return (a + same[0].a, a + same[-1].a + same[-1].size, held) if held and len(template) - held <= most else None
+        if not held or len(template) - held > most or not self.numbers[name].issubset(w for m in same for w in template[m.b : m.b + m.size]):
+            return None
+        return a + same[0].a, a + same[-1].a + same[-1].size, held
 
     def stretches(self, k: int, name: str, words: list[str], codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Stretches of the words, apart from each other, that hold the template's words in order, and how many.
@@ -143,10 +148,10 @@ def scanned(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, *, id_col
     """One row per confirmed finding: id, first_line, last_line, license, reduction, n_missing, n_added.
 
     Line breaks and other marks between words do not matter. Every stretch of a text with enough of a template's words
-    is aligned with it, and held if at most a tenth of its words is missing, in order. Each is compressed with the
-    template as raw dictionary; of those that shrink by a quarter the ones that save most bytes come first, and one
-    counts if no better one holds its words. The templates are constants of the program. Documents without a finding
-    have no row; null and empty texts have none; repeated rows are reported each.
+    is aligned with it, and held if at most a tenth of its words is missing, in order, and none of its version numbers.
+    Each is compressed with the template as raw dictionary; of those that shrink by a quarter the ones that save most
+    bytes come first, and one counts if no better one holds its words. The templates are constants of the program.
+    Documents without a finding have no row; null and empty texts have none; repeated rows are reported each.
     """
     arrow_setup(docs.sparkSession)
     templates = dict(templates)

@@ -96,6 +96,16 @@ def test_license_scan_of_neighbours():
     assert [(*x[:3], x[4]) for x in got] == [(0, 0, "ISC", 0), (1, 1, "ISC", 1), (2, 2, "MIT-notice", 0), (3, 3, "MIT-notice", 0), (4, 4, "MPL-2.0", 0)]
 
 
+def test_license_scan_tells_versions_apart():
+    t = license_scan.TEMPLATES
+    scanner = license_scan.Scanner(t)
+    assert [x[2] for x in scanner.scan("This work is licensed under the GNU General Public License, version 2.")] == ["GPL-2.0-notice"]
+    assert [x[2] for x in scanner.scan(t["GPL-3.0-or-later"].replace("version 3", "version 2"))] == ["GPL-2.0-or-later"]
+    assert [x[2] for x in scanner.scan(t["GPL-3.0-or-later"])] == ["GPL-3.0-or-later"]
+    assert [x[2] for x in scanner.scan(t["Apache-2.0"].replace("Version 2.0", "Version 1.1"))] == []
+    assert [x[2] for x in scanner.scan(t["MPL-2.0"].replace("2.0", "1.1"))] == []
+
+
 def statistics(text):
     w = WORD.findall(text or "")
     first, hit = {}, set()
