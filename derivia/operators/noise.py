@@ -43,20 +43,33 @@ class NoiseOp:
     def corrupt(self, value: Column, key: Column, seed: int | str, salt: str) -> Column:
         raise NotImplementedError
 
-    def probability(self, df: DataFrame) -> Column:
-        """The rate as a Column; a function's is checked to be one of its row alone, and each value to be in [0, 1]."""
+    def probability(self, df: DataFrame, where: str = "") -> Column:
+        """The rate as a Column; a function's is checked to be one of its row alone, and each value to be in [0, 1].
+
+        `where` names the table and column in errors. A row's rate that is null, NaN or out of range fails the job.
+        """
         if not callable(self.rate.value):
             return F.lit(float(self.rate.value))
-        rate: Column = self.rate.value({c: F.col(f"`{c}`") for c in df.columns if not c.startswith("_dv_")})
+        what = f"the rate function of {self.name}{' on ' + where if where else ''}"
+        rate = self.rate.value({c: F.col(f"`{c}`") for c in df.columns if not c.startswith("_dv_")})
         if not isinstance(rate, Column):
-            raise ValueError(f"{type(self).__name__}'s rate function must return a Column, got {type(rate).__name__}")
-        nodes = df.select(rate.alias("rate"))._jdf.queryExecution().analyzed().toString().split("\n")
-        own = len(df._jdf.queryExecution().analyzed().toString().split("\n"))
-        if any(word in line for line in nodes[: max(1, len(nodes) - own + 1)] for word in ("Aggregate", "Window")):
-            raise ValueError(f"{type(self).__name__}'s rate function must look at one row at a time, not aggregate over rows")
+            raise ValueError(f"{what} must return a Column, got {type(rate).__name__}")
+        if not of_one_row(df, rate):
+            raise ValueError(f"{what} must look at one row at a time, not at other rows")
         rate = rate.cast("double")
-        fails = lambda text: F.raise_error(F.concat(F.lit(f"{type(self).__name__}'s rate {text}: "), F.coalesce(rate.cast("string"), F.lit("null")))).cast("double")
-        return F.when(rate.isNull() | F.isnan(rate), fails("is not a number")).when((rate < 0) | (rate > 1), fails("is out of [0, 1]")).otherwise(rate)
+        fault = F.when(rate.isNull() | F.isnan(rate), "no number").when((rate < 0) | (rate > 1), "out of [0, 1]")
+        message = F.concat(F.lit(f"{what} must give numbers from 0 to 1; here it is "), fault, F.lit(": "), F.coalesce(rate.cast("string"), F.lit("null")))
+        return F.when(fault.isNotNull(), F.raise_error(message).cast("double")).otherwise(rate)
+
+
+def of_one_row(df: DataFrame, value: Column) -> bool:
+    """Whether a Column is a function of its row alone: selecting it puts one projection on the frame's plan, no more.
+
+    An aggregate, window or generator makes an operator of its own there, whatever its columns are called.
+    """
+    plan = df.select(value.alias("_dv_value"))._jdf.queryExecution().analyzed()
+    below = plan.children()
+    return plan.nodeName() == "Project" and below.size() == 1 and below.head().equals(df._jdf.queryExecution().analyzed())
 
 
 class Missing(NoiseOp):
@@ -111,10 +124,10 @@ class OCR(NoiseOp):
         return F.when(F.size(places) > 0, F.overlay(text, swap, i, F.lit(1))).otherwise(text)
 
 
-def corrupted(df: DataFrame, column: str, op: NoiseOp, seed: int | str, salt: str, key: str = ROW_KEY) -> tuple[DataFrame, Column]:
+def corrupted(df: DataFrame, column: str, op: NoiseOp, seed: int | str, salt: str, key: str = ROW_KEY, where: str = "") -> tuple[DataFrame, Column]:
     """The frame with one operation applied to a column, and the hit decision over the frame before."""
     value = F.col(f"`{column}`")
-    hit = derive.unit(F.col(key), seed, salt) < op.probability(df)
+    hit = derive.unit(F.col(key), seed, salt) < op.probability(df, where or column)
     kind = "string" if op.text else df.schema[column].dataType
     return df.withColumn(column, F.when(hit, op.corrupt(value, F.col(key), seed, salt).cast(kind)).otherwise(value.cast(kind))), hit
 
@@ -134,7 +147,7 @@ class Noise:
             for op in ops:
                 ctx.provenance.add(f"{table.name}.noise.{column}.{op.name}.rate", op.rate)
                 before = df
-                df, hit = corrupted(df, column, op, ctx.seed, f"noise\0{table.name}\0{column}\0{op.name}")
+                df, hit = corrupted(df, column, op, ctx.seed, f"noise\0{table.name}\0{column}\0{op.name}", where=f"{table.name}.{column}")
                 rates[f"{column}.{op.name}"] = once(lambda before=before, hit=hit: before.agg(F.coalesce(F.avg(hit.cast("int")), F.lit(0.0))).first()[0])
         if rates:
             ctx.report(table.name, "noise", **rates)

@@ -1,6 +1,7 @@
 """Corruption."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import derivia as dv
@@ -65,6 +66,28 @@ def test_rates_must_be_row_wise_columns(spark, rate):
         pairs(spark, dv.Missing(rate), 20)
 
 
+def test_rates_may_use_columns_of_any_name(spark):
+    df = spark.range(40).select(F.concat(F.lit("k"), "id").alias("_dv_row"), F.col("id").alias("v"), (F.col("id") % 2 == 0).alias("Window_open"), F.lit(1).alias("Aggregate [x]"))
+    rate = lambda row: F.when(row["Window_open"], row["Aggregate [x]"]).otherwise(0)
+    out, _ = corrupted(df, "v", dv.Missing(rate), 1, "salt")
+    assert out.filter("v is null").count() == 20
+
+
+@pytest.mark.parametrize("rate", [lambda row: F.rank().over(Window.orderBy(row["v"])) / 100, lambda row: F.avg(row["v"]), lambda row: F.explode(F.array(row["v"]))])
+def test_rates_over_other_rows_are_refused_by_name(spark, rate):
+    schema = dv.Schema([dv.Entity("person", 20)], [dv.Table("wages", "person", {"v": dv.Uniform(0, 1)})], 1)
+    with pytest.raises(ValueError, match="wages.v"):
+        dv.Pipeline(schema, noiser=dv.Noise({"wages": {"v": [dv.Missing(rate)]}})).run()
+
+
+@pytest.mark.parametrize(("rate", "says"), [(1.5, "out of"), (float("nan"), "no number"), (None, "no number")])
+def test_bad_rates_name_table_and_column(spark, rate, says):
+    schema = dv.Schema([dv.Entity("person", 20)], [dv.Table("wages", "person", {"v": dv.Uniform(0, 1)})], 1)
+    noise = dv.Noise({"wages": {"v": [dv.Missing(lambda row: F.lit(rate))]}})
+    with pytest.raises(Exception, match=f"missing on wages.v must give numbers from 0 to 1; here it is {says}"):
+        dv.Pipeline(schema, noiser=noise).run()["wages"].collect()
+
+
 def test_rate_range():
     for bad in (-0.1, 1.1):
         with pytest.raises(ValueError):
