@@ -7,9 +7,11 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from derivia.functions import derive
 from derivia.operators import cart
@@ -26,6 +28,11 @@ FIT_CAP = 200_000
 MAP_CATEGORIES = 256
 
 
+def _sized(table: DataFrame, rows: int) -> DataFrame:
+    """A table to join, broadcast only if it has no more rows than the default cap; a larger one is for the engine to judge."""
+    return F.broadcast(table) if rows <= FIT_CAP else table
+
+
 def training_sample(frame: DataFrame, cap: int, seed: int | str, table: str, order_by: Sequence[str] = ()) -> tuple[pd.DataFrame, bool]:
     """At most cap rows in a fixed order, and whether that is a sample.
 
@@ -90,19 +97,16 @@ class FittedCART:
             return df, F.coalesce(F.try_element_at(table, value.cast("string") if isinstance(self.types[column], T.StringType) else value), F.lit(-1.0))
         name = f"_dv_code_{column}"
         known = df.sparkSession.createDataFrame(list(codes.items()), T.StructType([T.StructField("_dv_v", self.types[column]), T.StructField(name, T.LongType())]))
-        joined = df.join(F.broadcast(known), value == F.col("_dv_v"), "left").drop("_dv_v")  # at most FIT_CAP rows
+        joined = df.join(_sized(known, len(codes)), value == F.col("_dv_v"), "left").drop("_dv_v")
         return joined, F.coalesce(F.col(name).cast("double"), F.lit(-1.0))
 
     def _donated(self, df: DataFrame, target: str, slot: Column, donors: np.ndarray) -> DataFrame:
         """The value of the donor in each row's slot, in place of the target column."""
         names, kind = df.columns, self.types[target]
-        pool = pd.DataFrame({"_dv_slot": np.arange(len(donors)), "_dv_donor": self.train[target].to_numpy(dtype=object)[donors]})
-        pool["_dv_donor"] = [None if v is None or v != v else v.item() if hasattr(v, "item") else v for v in pool["_dv_donor"]]
-        if isinstance(kind, T.IntegralType):
-            pool["_dv_donor"] = [None if v is None else int(v) for v in pool["_dv_donor"]]
-        table = df.sparkSession.createDataFrame(list(zip(pool["_dv_slot"].tolist(), pool["_dv_donor"].tolist(), strict=True)), T.StructType([T.StructField("_dv_slot", T.LongType()), T.StructField("_dv_donor", kind)]))
-        joined = df.withColumn("_dv_slot", slot.cast("long")).join(F.broadcast(table), "_dv_slot", "left")  # at most FIT_CAP rows
-        return joined.select(*[F.col("_dv_donor").alias(c) if c == target else F.col(f"`{c}`") for c in names])
+        values = pa.array(self.train[target].iloc[donors], from_pandas=True).cast(to_arrow_type(kind))
+        pool = df.sparkSession.createDataFrame(pa.table({"_dv_slot": pa.array(np.arange(len(donors))), "_dv_donor": values}))
+        joined = df.withColumn("_dv_slot", slot.cast("long")).join(_sized(pool, len(donors)), "_dv_slot", "left")
+        return joined.select(*[F.col("_dv_donor").cast(kind).alias(c) if c == target else F.col(f"`{c}`") for c in names])
 
     def apply(self, df: DataFrame, seed: int | str, table: str) -> DataFrame:
         names = df.columns

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from derivia.operators.generate import RuleGenerator
-from derivia.operators.link import DeterministicLinker
 from derivia.plans.context import RunContext
 from derivia.plans.schema import ENTITY_KEY, RESERVED, ROW_KEY, PerEntity, Schema, Table
 
@@ -105,8 +104,3 @@ def check_synthesizer(synthesizer: Any, schema: Schema, *, table: str | None = N
     if finer.select(F.spark_partition_id().alias("p")).distinct().count() < 2:
         raise ValueError(f"split_rows={split_rows} leaves one partition with rows; nothing about partitions was checked")
     out.unpersist()
-
-
-def linked(df: DataFrame, table: Table, schema: Schema) -> DataFrame:
-    """The default linker applied by itself, for checks of custom stages after it."""
-    return DeterministicLinker().run(df, table, _context(schema, df.sparkSession, 1_000_000))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -103,8 +102,3 @@ class Pipeline:
     def stream(self, name: str) -> DataFrame:
         """One table as a lazy frame; `toLocalIterator()` or a writer pulls its rows partition by partition."""
         return self._frame(self.schema.table(name), self._context())
-
-
-def frames(schema: Schema, **options: Any) -> Mapping[str, DataFrame]:
-    """The tables of a schema, run with the given options."""
-    return Pipeline(schema, **options).run().tables

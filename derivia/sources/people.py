@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import math
 import numbers
 import os
 import zipfile
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,64 +29,93 @@ SURNAME_SHARES = ("pctwhite", "pctblack", "pctapi", "pctaian", "pct2prace", "pct
 NAME_POOLS = {"first_name": "first_names", "first_name_female": "first_names_female", "first_name_male": "first_names_male", "last_name": "last_names"}
 
 
-def _unzipped(url: str, label: str, source: str | os.PathLike | None, folder: str, wanted) -> list[str]:
-    """Paths of the wanted members of a zip archive, local or fetched, unpacked on the driver."""
-    os.makedirs(folder, exist_ok=True)
-    archive = os.fspath(source) if source else os.path.join(folder, "download.zip")
-    if not source:
-        with open(archive, "wb") as f:
-            f.write(fetch_url(url, label=label))
-    with zipfile.ZipFile(archive) as z:
-        names = [n for n in z.namelist() if wanted(os.path.basename(n))]
-        if not names:
-            raise RuntimeError(f"{label}: the archive has no file of the expected name")
-        return [z.extract(n, folder) for n in names]
+def archive_lines(spark: SparkSession, source: str | os.PathLike | None, url: str, label: str, wanted: Callable[[str], bool]) -> DataFrame:
+    """file, number (from 0), line of the wanted members of a zip archive: a path that Spark reads, else downloaded.
+
+    The archive is unpacked by the task that reads it and leaves no files behind. The published ones have a few megabytes.
+    """
+    if source:
+        archives = spark.read.format("binaryFile").load(os.fspath(source)).select("content")
+    else:
+        archives = spark.createDataFrame([(bytearray(fetch_url(url, label=label)),)], "content binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content").to_pylist():
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for name in filter(lambda n: wanted(n.rpartition("/")[2]), z.namelist()):
+                        lines = z.read(name).decode("utf-8-sig").splitlines()
+                        yield pa.RecordBatch.from_arrays([pa.array([name.rpartition("/")[2]] * len(lines)), pa.array(range(len(lines)), pa.int32()), pa.array(lines, pa.string())], ["file", "number", "line"])
+
+    found = archives.mapInArrow(run, "file string, number int, line string")
+    if found.isEmpty():
+        raise RuntimeError(f"{label}: the archive has no file of the expected name")
+    return found
+
+
+_POSTAL = ", ".join(f"{c} string" for c in POSTAL_COLUMNS)
+_YEARLY = "name string, sex string, count long"
 
 
 def read_postal(spark: SparkSession, path: str) -> DataFrame:
     """A GeoNames postal file: tab-separated, without quoting, all text."""
-    return spark.read.csv(path, sep="\t", quote="", schema=", ".join(f"{c} string" for c in POSTAL_COLUMNS))
+    return spark.read.csv(path, sep="\t", quote="", schema=_POSTAL)
 
 
 def read_yearly_names(spark: SparkSession, paths: Any) -> DataFrame:
     """year, name, sex, count of `yob<year>.txt` files; the year is in the file's name."""
-    raw = spark.read.csv(paths, schema="name string, sex string, count long")
-    year = F.regexp_extract(F.col("_metadata.file_name"), r"yob(\d+)\.txt", 1).cast("int")
-    return raw.select(year.alias("year"), "name", "sex", "count")
+    return _of_years(spark.read.csv(paths, schema=_YEARLY).select("name", "sex", "count", F.col("_metadata.file_name").alias("file")))
+
+
+def _of_years(named: DataFrame) -> DataFrame:
+    return named.select(F.regexp_extract("file", r"yob(\d+)\.txt", 1).cast("int").alias("year"), "name", "sex", "count")
 
 
 def read_surnames(spark: SparkSession, path: str) -> DataFrame:
     """name, count and the shares of a census surname file; suppressed shares count as 0, the row of all others goes."""
-    raw = spark.read.csv(path, header=True)
+    return _with_shares(spark.read.csv(path, header=True))
+
+
+def _with_shares(raw: DataFrame) -> DataFrame:
     shares = [F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).alias(c) for c in SURNAME_SHARES]
     return raw.filter(F.coalesce(F.col("name"), F.lit("")) != "ALL OTHER NAMES").select("name", F.col("count").try_cast("long").alias("count"), *shares)
 
 
-def postal_data(spark: SparkSession, source: Any = None, cache_dir: str | os.PathLike | None = CACHE / "geonames") -> DataFrame:
+def _zipped_postal(spark: SparkSession, source: Any) -> DataFrame:
+    lines = archive_lines(spark, source, GEONAMES, "GeoNames", lambda n: n == "US.txt")
+    return lines.select(F.from_csv("line", F.lit(_POSTAL), {"sep": "\t", "quote": ""}).alias("r")).select("r.*")
+
+
+def _zipped_names(spark: SparkSession, source: Any) -> DataFrame:
+    lines = archive_lines(spark, source, SSA_NAMES, "SSA names", lambda n: n.startswith("yob") and n.endswith(".txt"))
+    return _of_years(lines.select(F.from_csv("line", F.lit(_YEARLY)).alias("r"), "file").select("r.*", "file"))
+
+
+def _zipped_surnames(spark: SparkSession, source: Any) -> DataFrame:
+    lines = archive_lines(spark, source, SURNAMES, "census surnames", lambda n: n == "Names_2010Census.csv")
+    header = lines.filter("number = 0").first()["line"].split(",")  # one row
+    return _with_shares(lines.filter("number > 0").select(F.from_csv("line", F.lit(", ".join(f"`{c}` string" for c in header))).alias("r")).select("r.*"))
+
+
+def _published(spark: SparkSession, source: Any, cache_dir: Any, name: str, plain: Callable[..., DataFrame], zipped: Callable[..., DataFrame]) -> DataFrame:
+    """A frame as given, a plain file or folder, or a zip archive (given or downloaded) through the cache."""
     if isinstance(source, DataFrame):
         return source
     if source and not os.fspath(source).endswith(".zip"):
-        return read_postal(spark, os.fspath(source))
-    load = lambda: read_postal(spark, _unzipped(GEONAMES, "GeoNames", source, os.path.join(cache_dir or CACHE, "raw"), lambda n: n == "US.txt")[0])
-    return cached_frame(spark, f"geonames:{source}", load, cache_dir)
+        return plain(spark, os.fspath(source))
+    return cached_frame(spark, f"{name}:{source}", lambda: zipped(spark, source), cache_dir)
+
+
+def postal_data(spark: SparkSession, source: Any = None, cache_dir: str | os.PathLike | None = CACHE / "geonames") -> DataFrame:
+    return _published(spark, source, cache_dir, "geonames", read_postal, _zipped_postal)
 
 
 def yearly_names(spark: SparkSession, source: Any = None, cache_dir: str | os.PathLike | None = CACHE / "ssa_names") -> DataFrame:
-    if isinstance(source, DataFrame):
-        return source
-    if source and not os.fspath(source).endswith(".zip"):
-        return read_yearly_names(spark, os.fspath(source))
-    load = lambda: read_yearly_names(spark, _unzipped(SSA_NAMES, "SSA names", source, os.path.join(cache_dir or CACHE, "raw"), lambda n: n.startswith("yob") and n.endswith(".txt")))
-    return cached_frame(spark, f"ssa:{source}", load, cache_dir)
+    return _published(spark, source, cache_dir, "ssa", read_yearly_names, _zipped_names)
 
 
 def surnames(spark: SparkSession, source: Any = None, cache_dir: str | os.PathLike | None = CACHE / "census_surnames") -> DataFrame:
-    if isinstance(source, DataFrame):
-        return source
-    if source and not os.fspath(source).endswith(".zip"):
-        return read_surnames(spark, os.fspath(source))
-    load = lambda: read_surnames(spark, _unzipped(SURNAMES, "census surnames", source, os.path.join(cache_dir or CACHE, "raw"), lambda n: n == "Names_2010Census.csv")[0])
-    return cached_frame(spark, f"surnames:{source}", load, cache_dir)
+    return _published(spark, source, cache_dir, "surnames", read_surnames, _zipped_surnames)
 
 
 class USAddress(Rule):
