@@ -10,6 +10,7 @@ from derivia.operators.structure import Declared, Empirical, Prior, StructureCon
 from derivia.operators.synthesize import CARTSynthesizer
 from derivia.plans.conformance import GeneratorConformanceError, SynthesizerConformanceError, check_generator, check_synthesizer
 from derivia.plans.context import RunContext
+from derivia.plans.deprecation import DeriviaDeprecationWarning
 from derivia.plans.mode import Mode, ModeSchema
 from derivia.plans.pipeline import Pipeline, PipelineResult
 from derivia.plans.provenance import ProvenanceRecord, Tagged, cited, modeled, user
@@ -17,10 +18,6 @@ from derivia.plans.registry import available, register, resolve, unregister
 from derivia.plans.schema import Entity, Identifier, PerEntity, PerEvent, PerPeriod, Schema, SchemaError, Table
 
 
-class DeriviaDeprecationWarning(DeprecationWarning):
-    """A name or option that a later version drops."""
-
-
 __all__ = [
     "CARTSynthesizer", "Choice", "Conditional", "Constant", "Declared", "DeriviaDeprecationWarning", "DeterministicLinker", "Empirical", "Entity", "FidelityReport",
     "GeneratorConformanceError", "Identifier", "Integer", "Missing", "Mode", "ModeSchema", "Noise", "NoiseOp", "Normal", "OCR", "PerEntity", "PerEvent", "PerPeriod",

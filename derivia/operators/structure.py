@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from itertools import combinations
+from numbers import Real
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -120,6 +121,8 @@ def coerce_structure(structure: Any) -> Any:
         for column, weights in structure.items():
             if not isinstance(weights, Mapping):
                 raise TypeError(f"structure given as a mapping must hold {{value: weight}} for each column; {column!r} has {type(weights).__name__}")
+            if odd := [w for w in weights.values() if isinstance(w, bool) or not isinstance(w, Real)]:
+                raise TypeError(f"weights of {column!r} must be numbers, got {odd[0]!r}")
         return Prior(structure)
     if isinstance(structure, DataFrame) or hasattr(structure, "iloc"):
         return Empirical(structure)

@@ -296,15 +296,6 @@ def grain_per_event_zero(spark, d):
     return _run(dv.Schema([_person(spark, d)], [dv.Table("rare", dv.PerEvent("person", 0, 3), identifiers=["tax_id"])], SEED), "rare")
 
 
-@query(f"SELECT (SELECT count(*) FROM {N})::BIGINT AS matching, 0::BIGINT AS differing")
-def carry_consistent(spark, d):
-    tables = [dv.Table("roster", "person", carry="*", identifiers=["tax_id"]), dv.Table("wages", dv.PerPeriod("person", [2020, 2021]), carry="*", identifiers=["tax_id"])]
-    t = dv.Pipeline(dv.Schema([_person(spark, d)], tables, SEED)).run().tables
-    w = t["wages"].groupBy("tax_id").agg(F.min("education").alias("lo"), F.max("education").alias("hi"))
-    same = (F.col("education") == F.col("lo")) & (F.col("education") == F.col("hi"))
-    return t["roster"].join(w, "tax_id").agg(F.count_if(same).alias("matching"), F.count_if(~same).alias("differing"))
-
-
 @query(f"SELECT CASE WHEN {s_edu()} = 'HS' THEN 20 ELSE 40 END::BIGINT AS wage FROM {N}")
 def carry_transitive(spark, d):
     e = _customer_entity(spark, d, attributes={"education": EDU, "sector": dv.Conditional("education", {"HS": "a", "College": "b"}), "wage": dv.Conditional("sector", {"a": 20, "b": 40})})
@@ -519,15 +510,6 @@ def cart_chain(spark, d):
     return _run(schema, "t", synthesizer=chain)
 
 
-@query(f"SELECT 1000::BIGINT AS fit_cap, TRUE AS sampled, TRUE AS within_cap, {N.replace('SELECT range AS i', 'SELECT count(*)::BIGINT')} AS n_rows")
-def cart_fit_cap(spark, d):
-    donors = _table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    schema = dv.Schema([_person(spark, d)], [dv.Table("t", "person", {"o_totalprice": 0.0})], SEED)
-    result = dv.Pipeline(schema, synthesizer=CARTSynthesizer(["o_totalprice"], structure=dv.Empirical(donors, order_by=["o_orderkey"]), fit_cap=1000)).run()
-    facts = result.metadata["t"]["synthesize"]
-    return result["t"].agg(F.lit(facts["fit_cap"]).cast("bigint").alias("fit_cap"), F.lit(facts["sampled"]).alias("sampled"), F.lit(facts["fit_rows"] <= 1000).alias("within_cap"), F.count("*").alias("n_rows"))
-
-
 @query()
 def mode_real_data(spark, d):
     """The front door over real rows, columns of two epsilons."""
@@ -582,13 +564,6 @@ def fid_eta(spark, d):
     return fidelity.correlation_ratio(_table(spark, d, "events"), "event_type", "value").select(F.round("value", 6).alias("value"))
 
 
-@query("SELECT unnest(['l_linestatus', 'l_quantity']) AS column_name, unnest(['category_share_delta', 'ks']) AS metric, unnest([TRUE, TRUE]) AS passed")
-def fid_threshold(spark, d):
-    t = _table(spark, d, "lineitem")
-    report = fidelity.fidelity_report(t, t, ["l_linestatus", "l_quantity"], thresholds={"ks_pvalue": 0.05, "category_share_delta": 0.1})
-    return report.column_stats.select(F.col("column").alias("column_name"), "metric", "passed")
-
-
 # ---- Governance ----------------------------------------------------------------------------------------------------
 
 
@@ -598,12 +573,6 @@ def summary_counts(spark, d):
     return dv.Pipeline(dv.Schema([_person(spark, d)], tables, SEED)).run().summary()
 
 
-@query("""SELECT * FROM (VALUES ('person.count', '400', 'user-provided', ''), ('t.coverage', '0.5', 'cited', 'a survey'), ('t.noise.v.missing.rate', '0.1', 'modeled', 'a guess')) t(path, value, origin, note)""")
-def prov_frame(spark, d):
-    schema = dv.Schema([dv.Entity("person", 400)], [dv.Table("t", "person", {"v": 1}, coverage=dv.cited(0.5, "a survey"))], SEED)
-    return dv.Pipeline(schema, noiser=Noise({"t": {"v": [Missing(dv.modeled(0.1, "a guess"))]}})).run().provenance.to_frame(spark)
-
-
 # ---- Reference data ------------------------------------------------------------------------------------------------
 
 
@@ -665,11 +634,6 @@ def name_pool(spark, d):
     return PoolChoice(pool).attach(_customers(spark, d), "v", "key", SEED, "rule").select("c_custkey", "v")
 
 
-@query("SELECT * FROM (VALUES (19::BIGINT, 3800::BIGINT), (56, 0), (75, 12500)) t(AGEP, PINCP)")
-def pums_parse(spark, d):
-    return pums.parse_pums(spark, [["AGEP", "PINCP", "state"], ["19", "3800", "36"], ["56", "0", "36"], ["75", "12500", "36"]], ["AGEP", "PINCP"])
-
-
 @query("SELECT * FROM (VALUES ('NY', '36'), ('New York', '36'), ('6', '06'), ('puerto rico', '72')) t(state, fips)")
 def pums_states(spark, d):
     return spark.createDataFrame([(s, pums.resolve_state(s)) for s in ("NY", "New York", "6", "puerto rico")], "state string, fips string")

@@ -45,11 +45,13 @@ def resolve_state(state: str) -> str:
 
 def resolve_api_key() -> str | None:
     """The key from the environment, else from the nearest .env file up to the project's root."""
-    return os.environ.get(KEY) or read_dotenv().get(KEY) if KEY not in os.environ else os.environ[KEY]
+    return os.environ[KEY] if KEY in os.environ else read_dotenv().get(KEY)
 
 
-def read_dotenv() -> dict[str, str]:
-    for folder in (Path.cwd(), *Path.cwd().parents):
+def read_dotenv(start: Path | None = None) -> dict[str, str]:
+    """The assignments of the nearest .env file from a folder (the current one) up to the project's root."""
+    start = start or Path.cwd()
+    for folder in (start, *start.parents):
         file = folder / ".env"
         if file.exists():
             pairs = (line.strip().partition("=") for line in file.read_text().splitlines() if "=" in line and not line.strip().startswith("#"))
