@@ -67,14 +67,20 @@ def test_section_tokens(spark, rule):
         assert mine == [(k, counts[k], b - a) for k, (a, b) in enumerate(bounds)]
 
 
+LICENSES = {k: v[0] for k, v in license_scan.TEMPLATES.items()}
+WORDINGS = [(k, x) for k, v in license_scan.TEMPLATES.items() for x in v]
+
+
 def test_license_scan(spark):
-    t = license_scan.TEMPLATES
+    t = LICENSES
     docs = [
         (0, None), (1, ""), (2, "plain words\nand more"), (3, "our permission to license nothing here"), (4, f"code\n{t['MIT']}\nmore code"),
         (5, "head\nLicensed under CC BY-NC 4.0.\ntail"), (6, "\n".join([t["Apache-2.0"].replace("you may not", "you really may not"), "x", "y", "Released under the MIT License."])), (7, "license " * 3000),
+        (8, "word " * 30_000 + t["ISC"]), (4, f"code\n{t['MIT']}\nmore code"),
     ]
-    got = sorted((r.doc_id, r.first_line, r.license, r.n_missing, r.n_added) for r in license_scan.scanned(spark.createDataFrame(docs, "doc_id long, text string")).collect())
-    assert got == [(4, 1, "MIT", 0, 0), (5, 1, "CC-BY-NC-4.0-notice", 0, 0), (6, 0, "Apache-2.0", 0, 1), (6, 3, "MIT-notice", 0, 0)]
+    frame = spark.createDataFrame([(*x, 1, "z") for x in docs], "doc_id long, text string, first_line int, license string")
+    got = sorted((r.doc_id, r.first_line, r.license, r.n_missing, r.n_added) for r in license_scan.scanned(frame).collect())
+    assert got == [(4, 1, "MIT", 0, 0)] * 2 + [(5, 1, "CC-BY-NC-4.0-notice", 0, 0), (6, 0, "Apache-2.0", 0, 1), (6, 3, "MIT-notice", 0, 0), (8, 0, "ISC", 0, 0)]
     assert license_scan.scanned(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -82,7 +88,7 @@ def test_license_scan(spark):
 @pytest.mark.parametrize("mark", ["", "# "])
 def test_license_scan_of_wrapped_texts(columns, mark):
     scanner = license_scan.Scanner(license_scan.TEMPLATES)
-    for name, template in license_scan.TEMPLATES.items():
+    for name, template in WORDINGS:
         lines = textwrap.wrap(template, columns, initial_indent=mark, subsequent_indent=mark)
         for before in ([], ["some plain words of a text"] * 9):
             got = scanner.scan("\n".join([*before, *lines, "", "more plain words"]))
@@ -90,20 +96,77 @@ def test_license_scan_of_wrapped_texts(columns, mark):
 
 
 def test_license_scan_of_neighbours():
-    t = license_scan.TEMPLATES
+    t = LICENSES
     parts = [t["ISC"], t["ISC"].replace("for any purpose", "for each purpose"), t["MIT-notice"], t["MIT-notice"], t["MPL-2.0"]]
-    got = license_scan.Scanner(t).scan("\n".join(parts))
+    got = license_scan.Scanner(license_scan.TEMPLATES).scan("\n".join(parts))
     assert [(*x[:3], x[4]) for x in got] == [(0, 0, "ISC", 0), (1, 1, "ISC", 1), (2, 2, "MIT-notice", 0), (3, 3, "MIT-notice", 0), (4, 4, "MPL-2.0", 0)]
 
 
-def test_license_scan_tells_versions_apart():
-    t = license_scan.TEMPLATES
-    scanner = license_scan.Scanner(t)
-    assert [x[2] for x in scanner.scan("This work is licensed under the GNU General Public License, version 2.")] == ["GPL-2.0-notice"]
-    assert [x[2] for x in scanner.scan(t["GPL-3.0-or-later"].replace("version 3", "version 2"))] == ["GPL-2.0-or-later"]
-    assert [x[2] for x in scanner.scan(t["GPL-3.0-or-later"])] == ["GPL-3.0-or-later"]
-    assert [x[2] for x in scanner.scan(t["Apache-2.0"].replace("Version 2.0", "Version 1.1"))] == []
-    assert [x[2] for x in scanner.scan(t["MPL-2.0"].replace("2.0", "1.1"))] == []
+@pytest.mark.parametrize(("text", "names"), [
+    ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0-notice"]),
+    ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0-notice"]),
+    ("This work is licensed under the GNU General Public License, version 1.", []),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", []),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", []),
+    (LICENSES["GPL-3.0-or-later"].replace("version 3", "version 2"), ["GPL-2.0-or-later"]),
+    (LICENSES["GPL-3.0-or-later"].replace("version 3", "version 4"), []),
+    (LICENSES["GPL-3.0-or-later"].replace("GNU General", "GNU Affero General"), ["AGPL-3.0-or-later"]),
+    (LICENSES["GPL-3.0-or-later"].replace("GNU General", "GNU Lesser General"), ["LGPL-3.0-or-later"]),
+    (LICENSES["AGPL-3.0-or-later"].replace("Affero ", ""), ["GPL-3.0-or-later"]),
+    (LICENSES["LGPL-2.1-or-later"], ["LGPL-2.1-or-later"]),
+    (LICENSES["LGPL-2.1-or-later"].replace("2.1", "2.2"), []),
+    (LICENSES["LGPL-2.0-or-later"].replace("Library General", "Lesser General"), []),
+    (LICENSES["Apache-2.0"].replace("Version 2.0", "Version 1.1"), []),
+    (LICENSES["Apache-1.1"], ["Apache-1.1"]),
+    (LICENSES["MPL-2.0"].replace("2.0", "1.1"), []),
+    ("Licensed under CC BY 3.0.", []),
+    ("Licensed under CC BY-NC-SA 4.0.", ["CC-BY-NC-SA-4.0-notice"]),
+    ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0-notice"]),
+    ("Licensed under CC BY, surely, 4.0.", []),
+    ("Released under the X11 License.", []),
+    ("Released under the MIT X11 License.", []),
+    ("Released under the terms of the MIT License.", ["MIT-notice"]),
+    (LICENSES["BSD-2-Clause"], ["BSD-2-Clause"]),
+    (LICENSES["BSD-3-Clause"], ["BSD-3-Clause"]),
+    (LICENSES["BSD-3-Clause"].replace("copyright holder nor", "University nor"), ["BSD-3-Clause"]),
+])
+def test_license_scan_tells_relatives_apart(text, names):
+    found = license_scan.Scanner(license_scan.TEMPLATES).scan(f"some code\n{text}\nmore code")
+    assert [x[2] for x in found] == names
+
+
+def test_license_scan_against_brute_force():
+    """Every exact wording is found; and a finding's words hold its template's in order, by dynamic programming, but for what is allowed."""
+    rng, scanner = random.Random(4), license_scan.Scanner(license_scan.TEMPLATES)
+    plain = "the software is provided under a license of any kind by version 2 or 3 general public words".split()
+
+    def most_in_order(x, y):
+        row = [0] * (len(y) + 1)
+        for a in x:
+            last, row = row, [0]
+            for j, b in enumerate(y):
+                row.append(last[j] + 1 if a == b else max(last[j + 1], row[-1]))
+        return row[-1]
+
+    for _ in range(60):
+        lines, planted = [], []
+        for _ in range(rng.randint(1, 4)):
+            lines.append(" ".join(rng.choices(plain, k=rng.randint(0, 40))))
+            name, words = rng.choice(WORDINGS)
+            words = words.split()
+            exact = rng.random() < 0.5
+            for _ in range(0 if exact else rng.randint(1, 8)):
+                k = rng.randrange(len(words))
+                words[k : k + rng.randint(0, 2)] = rng.choices(plain, k=rng.randint(0, 2))
+            if exact:
+                planted.append((len(lines), name))
+            lines.append(" ".join(words) or "x")
+        found = scanner.scan("\n".join(lines))
+        assert {(x[0], x[2]) for x in found} >= set(planted)
+        for first, last, name, _, missing, added in found:
+            text = license_scan.wording("\n".join(lines[first : last + 1]))
+            fits = [w for k, v in WORDINGS if k == name for w in [license_scan.wording(v)] if missing <= 0.1 * len(w) and added <= max(4, 0.2 * len(w)) and most_in_order(text, w) >= len(w) - missing]
+            assert fits
 
 
 def statistics(text):
