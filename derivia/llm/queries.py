@@ -111,13 +111,13 @@ ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": r"""
 WITH pages_ AS (
   SELECT page_id, (DATE '2024-01-01' + ((page_id * 7919) % 366)::INT)::DATE AS fetched_at,
-    rtrim(lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '')), '.') AS host,
+    rtrim(lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)', 1), '')), '.') AS host,
     list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') AS path
   FROM pages
 ), keyed AS (
   SELECT page_id, fetched_at, host, unnest(list_concat(
-    list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
-    list_transform(range(1, least(len(path), 3) + 1), lambda i: host || '/' || array_to_string(path[1:i], '/')))) AS key
+    list_transform(range(1, CASE WHEN regexp_matches(host, '^([0-9.]+$|\[)') THEN 1 ELSE greatest(len(string_split(host, '.')) - 1, 1) END + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+    list_transform(range(1, len(path) + 1), lambda i: host || '/' || array_to_string(path[1:i], '/')))) AS key
   FROM pages_ WHERE host IS NOT NULL
 ), hosts AS (
   SELECT host, md5(host) AS h, (DATE '2024-01-01' + ('0x' || substr(md5(host), 2, 2))::INT)::DATE AS day FROM (SELECT DISTINCT host FROM pages_ WHERE host IS NOT NULL)

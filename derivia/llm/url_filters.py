@@ -10,17 +10,21 @@ RUN = 10_000
 
 
 def host_of(url: Column) -> Column:
-    """The lower-case host of an absolute URL, null where there is none."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    """The lower-case host of an absolute URL, an IPv6 address in its brackets; null where there is none."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)", 1))
     return F.when(host != "", F.rtrim(host, F.lit(".")))
 
 
 def keys_of(url: Column) -> Column:
-    """What list entries a URL can meet: its host, the domains above it of two labels at least, and all host/path prefixes."""
+    """What list entries a URL can meet: its host, the domains above it of two labels at least, and all host/path prefixes.
+
+    An address is under no domain.
+    """
     host = host_of(url)
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))
+    above = F.when(host.rlike(r"^([0-9.]+$|\[)"), F.lit(0)).otherwise(n - 2)
+    domains = F.transform(F.sequence(F.lit(1), F.greatest(above + 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))
     path = F.filter(F.split(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1), "/"), lambda x: x != "")
     prefixes = F.when(F.size(path) > 0, F.transform(F.sequence(F.lit(1), F.size(path)), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(path, F.lit(1), i), "/"))))
     return F.when(host.isNotNull(), F.concat(domains, F.coalesce(prefixes, F.array().cast("array<string>"))))
@@ -47,7 +51,9 @@ def filtered(captures: DataFrame, entries: DataFrame, *, id_col: str = "page_id"
     capture pass. Without such an entry, host or fetch time it passes and rule is null. Repeated captures and those
     without an id have a row each: equal ones are judged once and come out as often as they went in. The join is an equi-join on the key with the interval as a condition: at most
     one interval of a key holds at a time, so it makes no more rows than captures have keys, and the engine may
-    broadcast the list where its size is known to be small or split a hot host's captures.
+    broadcast the list where its size is known to be small or split a hot host's captures. An empty table gives an empty
+    one, an empty list lets all pass. Captures of other columns, whatever their names, do not matter; a URL may be of any
+    length, and has as many keys as segments.
     """
     base = captures.select(F.col(id_col).alias("__id"), F.col(time_col).alias("__at"), F.col(url_col).alias("__url"))
     keyed = base.select("__id", "__at", "__url", host_of(F.col("__url")).alias("host"), F.posexplode_outer(keys_of(F.col("__url"))).alias("__pos", "__key"))

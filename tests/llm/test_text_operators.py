@@ -237,6 +237,15 @@ def test_url_filter_meets_deep_entries(spark):
     assert sorted((r.page_id, r.blocked, r.rule) for r in got) == [(0, True, "bad.com/a/b"), (1, False, "bad.com/a/b/c/d/e"), (2, False, "bad.com/a/b/c/d/e"), (3, True, "bad.com/a/b/c/d/e/f/g")]
 
 
+def test_url_filter_of_addresses_and_ties(spark):
+    day = date(2024, 1, 1)
+    entries = [("[2001:db8::1]", "block", day), ("[2001:db8::1]/ok", "allow", day), ("3.4", "block", day), ("1.2.3.4", "block", day), ("tie.com", "allow", day), ("tie.com", "block", day), ("gone.com", "block", day), ("gone.com", "remove", day)]
+    urls = {"http://[2001:DB8::1]:80/x": True, "http://u@[2001:db8::1]/ok": False, "http://[2001:db8::2]/": False, "http://1.2.3.4/": True, "http://9.2.3.4/": False, "http://tie.com": True, "http://gone.com": False, "http://tie.com/" + "x/" * 3000: True}
+    df = spark.createDataFrame([(i, u, date(2024, 1, 2)) for i, u in enumerate(urls)], "page_id long, url string, fetched_at date")
+    got = url_filters.filtered(df, spark.createDataFrame(entries, "key string, action string, listed_at date")).collect()
+    assert [r.blocked for r in sorted(got)] == list(urls.values())
+
+
 @pytest.mark.parametrize("run", [2, 10_000])
 def test_url_filter_keeps_every_capture(spark, monkeypatch, run):
     monkeypatch.setattr(url_filters, "RUN", run, raising=False)
