@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from derivia.plans.shipping import ship
 
@@ -42,13 +42,43 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the shuffle files of steps that have been checkpointed go now.
+def checkpointed_by(df: DataFrame, column: str) -> DataFrame:
+    """A checkpoint dealt by a column, so that joins on it need not deal it again.
 
-    Spark removes them when the driver happens to collect its plans as garbage, which may be long after.
+    Only a plan that is not adaptive tells its checkpoint how it is dealt.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark, adaptive = df.sparkSession, "spark.sql.adaptive.enabled"
+    before = spark.conf.get(adaptive)
+    spark.conf.set(adaptive, "false")
+    try:
+        return checkpointed(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), column))
+    finally:
+        spark.conf.set(adaptive, before)
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """id, text with a whole number for each row's id, in the ids' order, and the numbers' meaning (id, number), if needed.
+
+    Where ids are whole numbers and none has several rows, they are the numbers and there is no table. Else each id and
+    text has a number of its own, so rows that share an id but not a text are told apart and equal rows are not; a null
+    id has none. The table is ordered by ranges and kept in the checkpoint folder, as a rerun must give the same numbers.
+    """
+    given, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("text")
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        rows = docs.select(given.cast("long").alias("id"), text)
+        if rows.filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty():
+            return rows, None
+    rows = docs.select(given.alias("__id"), text).withColumn("__hash", F.xxhash64("text"))
+    numbers = checkpointed(rows.filter("__id is not null").select("__id", "__hash").distinct().orderBy("__id", "__hash").withColumn("id", F.monotonically_increasing_id()))
+    return rows.join(numbers, ["__id", "__hash"], "left").select("id", "text"), numbers.select("__id", "id")
+
+
+def renamed(out: DataFrame, numbers: DataFrame | None, id_col: str) -> DataFrame:
+    """The rows with the ids of the input instead of the numbers of `numbered`, as first column id_col."""
+    if numbers is None:
+        return out.withColumnRenamed("id", id_col)
+    rest = [c for c in out.columns if c != "id"]
+    return out.join(numbers, "id", "left").select(F.col("__id").alias(id_col), *rest)
 
 
 def word_count(text: Column) -> Column:

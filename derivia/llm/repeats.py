@@ -1,10 +1,10 @@
 """What both exact substring dedups share: repeated windows of a fixed number of units (bytes or words).
 
-A corpus's windows are too many to be sorted or counted one by one. Every window has content-chosen anchors: the
-positions of its smallest k-gram hash. Equal windows have equal anchors, so a window whose anchors' k-grams occur once
-can't be repeated. What remains is small: anchors whose k-gram repeats, each with its context, the units of all windows
-that hold it. Equal contexts are settled by counting them; contexts that share an anchor but differ go to the operator's
-own comparison, as snippets grouped by the anchor.
+A corpus's windows are too many to be sorted or counted one by one. Every window has a content-chosen anchor: its
+leftmost k-gram of the smallest hash. Equal windows have equal anchors, so a window whose anchor's k-gram occurs once
+can't be repeated. What remains is small: anchors whose k-gram repeats, each with its context, the units of the windows
+that it is the anchor of. Equal contexts are settled by counting them; contexts that share an anchor but differ go to
+the operator's own comparison, as snippets grouped by the anchor.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from derivia.llm._common import _MIX, SPACE, arrow_setup, checkpointed, chunks, flat_bytes, flat_words, mixed, release, span_hashes
+from derivia.llm._common import _MIX, SPACE, arrow_setup, checkpointed, chunks, flat_bytes, flat_words, mixed, span_hashes
 
 #: Text bytes that the anchors are chosen in at a time: their arrays, eight bytes a unit, then stay in a core's cache.
 ANCHOR_BYTES = 1 << 18
@@ -82,37 +82,56 @@ def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
-def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
-    """Minimum or maximum of x[i : i + width], for every i that has so many."""
-    op, size = np.minimum if least else np.maximum, 1
+def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of x[i : i + width], for every i that has so many."""
+    size = 1
     while size * 2 <= width:
-        x = op(x[:-size], x[size:])
+        x = np.minimum(x[:-size], x[size:])
         size *= 2
     rest = width - size
-    return op(x[:-rest], x[rest:]) if rest else x
+    return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
-def _order(h: np.ndarray) -> np.ndarray:
-    """What the smallest k-gram hash is judged by."""
-    return (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+@dataclass(frozen=True)
+class Anchors:
+    """Anchors `at` by flat unit position, the windows `lo` to `hi` (units of all windows that an anchor stands for), and all k-gram hashes."""
+
+    at: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    grams: np.ndarray
+
+    @property
+    def keys(self) -> np.ndarray:
+        """Hashes of the anchors' k-grams, mixed once more, as an anchor's own hash is a small one."""
+        return mixed(self.grams[self.at] ^ _STEP)
+
 
+def anchors(parsed: Parsed, units: Units) -> Anchors:
+    """The anchor of every window is the leftmost of its k-grams of the smallest hash, by its upper half.
 
-def anchors(parsed: Parsed, units: Units) -> tuple[np.ndarray, np.ndarray]:
-    """Flat unit positions of the anchors of all windows, and the hashes of their k-grams."""
+    Windows of one anchor start side by side, so each window belongs to one anchor and its copies to anchors of the same
+    k-gram, with the anchor at the same place in them.
+    """
     n, k, w = len(parsed.values), units.gram, units.length - units.gram + 1
+    none = np.zeros(0, np.int64)
     if n < units.length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = gram_hashes(parsed.values, k)
-    order = _order(h)
-    low = _sliding(order, w, True)
-    # Windows that cross a document's end count for nothing.
-    room = np.repeat(parsed.offsets[1:], np.diff(parsed.offsets))[: len(low)] - np.arange(len(low))
-    low[room < units.length] = 0
-    padded = np.zeros(len(h) + w - 1, np.uint32)
-    padded[w - 1 : w - 1 + len(low)] = low
-    high = _sliding(padded, w, False)
-    at = np.flatnonzero(order == high[: len(order)])
-    return at, h[at]
+        return Anchors(none, none, none, np.zeros(0, np.uint64))
+    if n >= 1 << 32:
+        raise ValueError("a text of 2^32 units or more")
+    grams = gram_hashes(parsed.values, k)
+    low = np.uint64(0xFFFFFFFF)
+    where = (_sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), w) & low).astype(np.int64)
+    # Windows that cross a document's end count for nothing; units.length - 1 of them lie between two documents' windows.
+    whole = np.repeat(parsed.offsets[1:], np.diff(parsed.offsets))[: len(where)] - np.arange(len(where)) >= units.length
+    starts = np.flatnonzero(whole)
+    if not len(starts):
+        return Anchors(none, none, none, grams)
+    where = where[starts]
+    fresh = np.r_[True, (where[1:] != where[:-1]) | (starts[1:] != starts[:-1] + 1)]
+    first = np.flatnonzero(fresh)
+    last = np.r_[first[1:], len(starts)] - 1
+    return Anchors(where[first], starts[first], starts[last] + units.length, grams)
 
 
 def _documents(parsed: Parsed, at: np.ndarray) -> np.ndarray:
@@ -137,37 +156,79 @@ def _counted(docs: DataFrame, units: Units) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, most=ANCHOR_BYTES):
-            _, h = anchors(units.parse(batch.column("text")), units)
-            h = np.sort(h)
+            h = np.sort(anchors(units.parse(batch.column("text")), units).keys)
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
             yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.diff(np.r_[first, len(h)]).astype(np.int32))], ["key", "n"])
 
     return docs.mapInArrow(run, "key long, n int").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
 
 
+#: A table of keys has so many bits at most (32 MB), and as many segments as a power of two, each made by one task.
+TABLE_BITS, SEGMENT_BITS = 28, 4
+
+
+@dataclass(frozen=True)
+class KeyTable:
+    """A bit for each value of a hash's first bits: whether a key has them. What it lets through may be no key."""
+
+    bits: int
+    marks: np.ndarray
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = keys >> np.uint64(64 - self.bits)
+        return (self.marks[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def key_table(keys: DataFrame, count: int, each: int = 16, most_bits: int = TABLE_BITS) -> KeyTable:
+    """The table of `count` keys: `each` bits or more for each, up to its fixed size. Fuller tables let more through."""
+    bits = int(np.clip(np.ceil(np.log2(each * max(count, 1))), SEGMENT_BITS + 3, most_bits))
+    marks = np.zeros(1 << (bits - 3), np.uint8)
+    if not count:
+        return KeyTable(bits, marks)
+    size = 1 << (bits - 3 - SEGMENT_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segments: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+            segment = (at >> np.uint64(bits - SEGMENT_BITS)).astype(np.int64)
+            for k in np.unique(segment).tolist():
+                own = at[segment == k] & np.uint64((1 << (bits - SEGMENT_BITS)) - 1)
+                np.bitwise_or.at(segments.setdefault(k, np.zeros(size, np.uint8)), own >> np.uint64(3), np.uint8(1) << (own & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(segments), pa.int32()), pa.array([x.tobytes() for x in segments.values()], pa.binary())], ["segment", "marks"])
+
+    dealt = keys.select("key").repartition(1 << SEGMENT_BITS, F.shiftrightunsigned("key", 64 - SEGMENT_BITS))
+    for segment, part in dealt.mapInArrow(run, "segment int, marks binary").collect():  # one row a segment, of fixed size
+        marks[segment * size : (segment + 1) * size] |= np.frombuffer(part, np.uint8)
+    return KeyTable(bits, marks)
+
+
 #: Contents of `places`.
 _PLACE = np.dtype([("id", np.int64), ("pos", np.int64)])
 _PLACED = "key long, ctx long, before int, behind int, places binary"
 
 
-def _placed(docs: DataFrame, units: Units) -> DataFrame:
+def _placed(docs: DataFrame, units: Units, repeated, frequent, hot: bool) -> DataFrame:
     """key, ctx, before, behind, places: the anchors of each context, which reaches from pos - before to pos + behind.
 
-    The places of a context in some text make one row, so that copies do not crowd the shuffle.
+    Only of keys in the table `repeated`, and those in the table `frequent` or, unless `hot`, those not in it; the tables are
+    broadcast variables. The places of a context in some text make one row, so that copies do not crowd the shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, most=ANCHOR_BYTES):
             parsed = units.parse(batch.column("text"))
-            at, h = anchors(parsed, units)
-            if not len(at):
+            found = anchors(parsed, units)
+            keys = found.keys
+            own = repeated.value.has(keys)
+            own[own] &= frequent.value.has(keys[own]) == hot
+            if not own.any():
                 continue
-            of = _documents(parsed, at)
-            lo = np.maximum(at + units.gram - units.length, parsed.offsets[of])
-            hi = np.minimum(at + units.length, parsed.offsets[of + 1])
-            ctx = context_hashes(gram_hashes(parsed.values, units.gram), at, lo, hi, units)
+            at, lo, hi, h = found.at[own], found.lo[own], found.hi[own], keys[own]
+            ctx = context_hashes(found.grams, at, lo, hi, units)
             order = np.lexsort((ctx, h))
-            at, h, of, lo, hi, ctx = (x[order] for x in (at, h, of, lo, hi, ctx))
+            at, h, lo, hi, ctx = (x[order] for x in (at, h, lo, hi, ctx))
+            of = _documents(parsed, at)
             first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])])
             places = np.empty(len(at), _PLACE)
             places["id"], places["pos"] = batch.column("id").to_numpy()[of], at - parsed.offsets[of]
@@ -254,10 +315,10 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def snippets(asked: DataFrame, units: Units) -> DataFrame:
-    """The bytes of unit ranges. Input: id, text, asked (array of key, lo, hi, many)."""
+    """The bytes of unit ranges. Input: id, text, asked (array of key, lo, hi, many; null for none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in unpacked(batches):
+        for batch in unpacked(batch.filter(pc.is_valid(batch.column("asked"))) for batch in batches):
             parsed = units.parse(batch.column("text"))
             rows = batch.column("asked")
             of = np.repeat(np.arange(len(batch)), pc.list_value_length(rows).to_numpy(zero_copy_only=False))
@@ -270,8 +331,14 @@ def snippets(asked: DataFrame, units: Units) -> DataFrame:
 
 #: Places of one k-gram that a task judges, 16 bytes each; those of a more frequent one are counted with partial sums.
 CROWD = 65_536
-#: So many frequent k-grams, 8 bytes each, are broadcast to tell them apart before the shuffle.
-BROADCAST_KEYS = 500_000
+#: Parts that the places of one frequent context or window are dealt to.
+SALT = 16
+
+
+def _salted(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """An inner join with one row of `few` for many of `rows`, whose rows (with an id) go to several tasks."""
+    spread = few.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALT)))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(spread, [*on, "salt"])
 
 
 def settled(docs: DataFrame, units: Units, keep_first: bool, compare: Callable[[DataFrame], DataFrame], crowd: int = CROWD, most_kinds: int = 4096) -> tuple[DataFrame, DataFrame]:
@@ -282,34 +349,36 @@ def settled(docs: DataFrame, units: Units, keep_first: bool, compare: Callable[[
     of them, `many` for contexts that occur more than once, and returns ranges. Where more contexts share an anchor, as
     in a frequent line with ever new surroundings, their windows are counted by digests. k-grams with more than `crowd`
     places never meet in a task: their contexts are counted with partial sums.
+
+    The k-grams that repeat go to the executors as a bit table of a fixed size at most, so that places of others are
+    dropped where they are found; those that a full table lets through are judged alone and settle nothing. A second
+    table tells frequent ones, and both ways of judging are right for any k-gram, so its errors change no result.
     """
     spark = docs.sparkSession
     arrow_setup(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = checkpointed(_counted(docs, units))
-    release(spark)
-    frequent = counts.filter(F.col("n") > crowd).select("key")
-    crowded = frequent.count()
-    sized = (lambda df: F.broadcast(df)) if crowded <= BROADCAST_KEYS else (lambda df: df)
-    placed = _placed(docs, units)
-    usual = (placed.join(sized(frequent), "key", "left_anti") if crowded else placed).join(counts.select("key"), "key")
+    crowds = counts.filter(F.col("n") > crowd)
+    repeats, crowded = counts.agg(F.count("*"), F.count_if(F.col("n") > crowd)).first()
+    # Of a frequent k-gram's table a bit in 4,096 is set, as what it lets through moves more data.
+    repeated, frequent = (spark.sparkContext.broadcast(key_table(*x)) for x in ((counts, repeats, 16), (crowds, crowded, 4096)))
+    usual = _placed(docs, units, repeated, frequent, False)
     seen = usual.groupBy("key").agg(F.collect_list(F.struct("ctx", "before", "behind", "places")).alias("seen"))
     verdicts = checkpointed(_judged(seen, keep_first, most_kinds))
-    del usual, seen
-    release(spark)
     full = verdicts.filter("ask is null").select("id", "lo", "hi")
     asks = verdicts.filter("ask is not null").select("id", "hot", F.struct("key", "lo", "hi", F.col("ask").alias("many")).alias("ask"))
     if crowded:
-        hot = _each_place(placed.join(sized(frequent), "key", "left_semi"))
+        hot = _each_place(_placed(docs, units, repeated, frequent, True))
         each = checkpointed(hot.groupBy("key", "ctx").agg(F.min(F.struct("id", "pos", "lo", "hi")).alias("first"), F.max(F.struct("id", "pos")).alias("last")))
         again = F.expr("first.id <> last.id or first.pos <> last.pos")
-        copies = hot.join(each.filter(again).select("key", "ctx", "first"), ["key", "ctx"])
+        copies = _salted(hot, each.filter(again).select("key", "ctx", "first"), ["key", "ctx"])
         full = full.union((copies.filter("id <> first.id or pos <> first.pos") if keep_first else copies).select("id", "lo", "hi"))
         asks = asks.union(each.select("first.id", F.lit(True).alias("hot"), F.struct("key", "first.lo", "first.hi", again.alias("many")).alias("ask")))
     texts = packed(docs).repartition(n, "id")
 
     def parts(which: DataFrame) -> DataFrame:
-        return snippets(texts.join(which.groupBy("id").agg(F.collect_list("ask").alias("asked")), "id").select("id", "text", "asked"), units)
+        # A left join, as an inner one would filter the texts first, and their one shuffle could not be used again.
+        return snippets(texts.join(which.groupBy("id").agg(F.collect_list("ask").alias("asked")), "id", "left").select("id", "text", "asked"), units)
 
     ranges = full.union(compare(parts(asks.filter("not hot"))))
     if crowded or not asks.filter("hot").isEmpty():
@@ -318,30 +387,22 @@ def settled(docs: DataFrame, units: Units, keep_first: bool, compare: Callable[[
 
 
 def _by_windows(parts: DataFrame, units: Units, keep_first: bool) -> DataFrame:
-    """Ranges of repeated windows, by a digest of every window whose smallest k-gram is the snippet's anchor.
-
-    A window belongs to one k-gram so, and so do its copies.
-    """
+    """Ranges of repeated windows of the snippets, by a digest of every window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "part", ANCHOR_BYTES):
             parsed = units.parse(batch.column("part"))
-            w = units.length - units.gram + 1
             room = np.repeat(parsed.offsets[1:], np.diff(parsed.offsets)) - np.arange(len(parsed.values))
             at = np.flatnonzero(room >= units.length)
             of = _documents(parsed, at)
-            if len(at):
-                low = _sliding(_order(gram_hashes(parsed.values, units.gram)), w, True)
-                own = low[at] == _order(batch.column("key").to_numpy().view(np.uint64))[of]
-                at, of = at[own], of[own]
             digests = [hashlib.blake2b(parsed.span(i, i + units.length), digest_size=16).digest() for i in at.tolist()]
             starts = batch.column("lo").to_numpy()[of] + (at - parsed.offsets[of]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), _take(batch.column("id"), of), pa.array(starts, pa.int32()), _take(batch.column("many"), of)], ["w", "id", "lo", "many"])
 
-    windows = parts.mapInArrow(run, "w binary, id long, lo int, many boolean").groupBy("w", "id", "lo").agg(F.max("many").alias("many"))
+    windows = parts.mapInArrow(run, "w binary, id long, lo int, many boolean")
     place = F.struct("id", "lo")
-    first = windows.groupBy("w").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("many").alias("some")).filter("n > 1 or some")
-    again = windows.join(first, "w")
+    first = windows.groupBy("w").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("many").alias("some")).filter("some or first.id <> last.id or first.lo <> last.lo")
+    again = _salted(windows, first.select("w", "first"), ["w"])
     if keep_first:
         again = again.filter("id <> first.id or lo <> first.lo")
     return again.select("id", "lo", (F.col("lo") + units.length).alias("hi"))
@@ -396,7 +457,7 @@ def merged_ranges(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.n
     return ids[first], lo[first], np.maximum.reduceat(hi, first)
 
 
-def without(texts: DataFrame, ranges: DataFrame, units: Units, id_col: str, with_text: bool) -> DataFrame:
+def without(texts: DataFrame, ranges: DataFrame, units: Units, with_text: bool) -> DataFrame:
     """One row per text: id, n_units, n_removed, n_spans, kept_sha256, and on request the kept text."""
     spans = texts.join(ranges.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "id", "left").select("id", "text", "spans")
 
@@ -434,7 +495,7 @@ def without(texts: DataFrame, ranges: DataFrame, units: Units, id_col: str, with
             if with_text:
                 # A cut inside of a character leaves bytes that are no text; they go.
                 out.append(pa.array([x.decode(errors="ignore") for x in kept_texts], pa.string()))
-            yield pa.RecordBatch.from_arrays(out, [id_col, f"n_{units.kind}", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text])
+            yield pa.RecordBatch.from_arrays(out, ["id", f"n_{units.kind}", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text])
 
-    schema = f"`{id_col}` long, n_{units.kind} long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+    schema = f"id long, n_{units.kind} long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
     return spans.mapInArrow(run, schema)

@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from derivia.llm._common import numbered, renamed
 from derivia.llm.repeats import CROWD, Units, groups_of, merged_ranges, settled, without
 
 #: Words of a repeat, and of the k-grams that anchor it.
@@ -129,11 +129,15 @@ def _matched_parts(parts: DataFrame, length: int) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = False, crowd: int = CROWD, most_kinds: int = 1024) -> DataFrame:
-    """One row per document: id, n_words, n_removed, n_spans, kept_sha256, on request kept_text.
+    """One row per document: id, n_words, n_removed, kept_sha256, n_spans, on request kept_text.
 
     Every word goes that a window of `length` words covers whose words also start anywhere else, in this document or
-    another. Windows are judged on the input; what is kept is joined by single spaces. A null text has no words. A document
-    with a null id is left whole and marks no other; rows of one id should be equal, and count as one document.
+    another. Windows are judged on the input; what is kept is joined by single spaces. A null text has no words.
+
+    Ids may be of any type that has an order. A document with a null id is left whole and marks no other. Equal rows
+    (id and text) count as one document, each with a row in the result; rows of one id with different texts are
+    documents of their own. An empty table gives an empty one. A text is worked on in one task, in memory of about fifty
+    times its size, up to 2^32 words. Other columns, whatever their names, do not matter.
 
     The corpus is its own reference. Only snippets around anchors that repeat can hold a repeated window (see
     `repeats`); they make up the reference shards, dealt by anchor, so that a window and its copies meet in one shard.
@@ -141,6 +145,7 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     shards' number grows with the corpus, so sending every automaton everywhere would grow with its square.
     """
     units = Units("words", length, gram)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base, numbers = numbered(docs, id_col, text_col)
     texts, ranges = settled(base, units, False, lambda parts: _matched_parts(parts, length), crowd, most_kinds)
-    return without(texts, ranges, units, id_col, with_text)
+    out = without(texts, ranges, units, with_text)
+    return renamed(out, numbers, id_col).select(f"`{id_col}`", "n_words", "n_removed", "kept_sha256", "n_spans", *["kept_text"] * with_text)

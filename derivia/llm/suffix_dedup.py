@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from derivia.llm._common import numbered, renamed
 from derivia.llm.repeats import CROWD, Units, flat_bytes, groups_of, merged_ranges, settled, without
 
 #: Bytes of a repeat, and of the k-grams that anchor it.
@@ -115,14 +115,19 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Every byte goes that a string of `length` bytes covers which also starts earlier: in a document of smaller id, or
     before in its own. Strings are judged on the input, overlaps count, and none crosses documents; a null text counts
-    as empty. A document with a null id is left whole and marks no other; rows of one id
-    should be equal, and count as one document. kept_text leaves out characters that a cut splits.
+    as empty. kept_text leaves out characters that a cut splits.
+
+    Ids may be of any type that has an order. A document with a null id is left whole and marks no other. Equal rows
+    (id and text) count as one document, each with a row in the result; rows of one id with different texts are
+    documents of their own, the one of the smaller text hash earlier. An empty table gives an empty one. A text is worked
+    on in one task, in memory of about fifty times its size, up to 2^32 bytes. Other columns, whatever their names, do
+    not matter.
 
     Bytes that can't be part of a repeat are set aside first (see `repeats`), and equal surroundings are settled by
     their digests. The rest, snippets that share an anchor and differ somewhere, are suffix-sorted: sampled triples,
     recursion on their names, merge of the others, then neighbours' prefixes are compared byte by byte.
     """
     units = Units("bytes", length, gram)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base, numbers = numbered(docs, id_col, text_col)
     texts, ranges = settled(base, units, True, lambda parts: _sorted_parts(parts, length), crowd, most_kinds)
-    return without(texts, ranges, units, id_col, with_text)
+    return renamed(without(texts, ranges, units, with_text), numbers, id_col)

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from derivia.llm import substring_dedup, suffix_dedup
+from derivia.llm.repeats import key_table
 from derivia.llm.substring_dedup import SuffixAutomaton
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -74,12 +75,55 @@ def test_bytes(spark, options):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == by_bytes(docs, 100)
 
 
-def test_empty_table_null_ids_and_repeated_rows(spark):
-    for op in (substring_dedup, suffix_dedup):
-        assert op.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+OPERATORS = [substring_dedup, suffix_dedup]
+
+
+@pytest.mark.parametrize("op", OPERATORS)
+def test_empty_table(spark, op):
+    assert op.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("op", OPERATORS)
+def test_null_ids_and_repeated_rows(spark, op):
+    text = " ".join(f"x{i}" for i in range(80))
+    rows = spark.createDataFrame([(1, text, 0, 5), (1, text, 0, 5), (None, text, 0, 5)], "doc_id long, text string, id int, n_removed int")
+    assert [r.n_removed for r in op.deduplicated(rows).collect()] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("op", OPERATORS)
+def test_rows_that_share_an_id_but_not_a_text(spark, op):
     text = " ".join(f"x{i}" for i in range(80))
-    rows = spark.createDataFrame([(1, text, 0), (1, text, 0), (None, text, 0)], "doc_id long, text string, id int")
-    assert all(r.n_removed == 0 for r in suffix_dedup.deduplicated(rows).collect())
+    alone = " ".join(f"y{i}" for i in range(80))
+    rows = spark.createDataFrame([(1, text), (2, text), (2, alone)], "doc_id long, text string")
+    got = {(r.doc_id, r.kept_text): r.n_removed for r in op.deduplicated(rows, with_text=True).collect()}
+    assert got[2, alone] == 0
+    assert got[2, ""] > 0
+    assert len(got) == 3
+    assert got[1, "" if op is substring_dedup else text] == (80 if op is substring_dedup else 0)
+
+
+@pytest.mark.parametrize("op", OPERATORS)
+def test_ids_of_text(spark, op):
+    text = " ".join(f"x{i}" for i in range(80))
+    rows = spark.createDataFrame([("b", text), ("a", text), ("c", "z"), (None, None)], "doc_id string, text string")
+    got = {r.doc_id: r.n_removed > 0 for r in op.deduplicated(rows).collect()}
+    assert got == {"a": op is substring_dedup, "b": True, "c": False, None: False}
+
+
+def test_columns_come_in_the_order_of_the_contract(spark):
+    rows = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    assert substring_dedup.deduplicated(rows).columns[:4] == ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    assert suffix_dedup.deduplicated(rows).columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
+def test_key_table_holds_its_keys_whatever_its_size(spark):
+    keys = np.random.default_rng(3).integers(0, 1 << 64, 5000, dtype=np.uint64)
+    frame = spark.createDataFrame([(int(k),) for k in keys[:2500].view(np.int64)], "key long")
+    for bits in (10, 28):
+        table = key_table(frame, 2500, most_bits=bits)
+        assert table.bits <= bits
+        assert table.has(keys[:2500]).all()
+    assert table.has(keys[2500:]).mean() < 0.2
 
 
 def test_suffix_array():
