@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,19 +27,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_setup(spark: SparkSession) -> None:
-    """Small Arrow batches, as rows here are whole documents, and the kernels' code on the executors."""
+    """Small Arrow batches, as rows here are whole documents, and the kernels' code on the executors.
+
+    The size is a setting of the session, read when a plan runs; a smaller one that the caller has stays.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = int(spark.conf.get(name))
+    if not 0 < given <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and tables between steps: what the session names, on one machine else a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="derivia-")
 
-    The setting is read from the session; only where it is unset (tests on one machine) is a folder chosen here.
-    """
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that Spark has written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/derivia-checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -56,21 +76,27 @@ def checkpointed_by(df: DataFrame, column: str) -> DataFrame:
         spark.conf.set(adaptive, before)
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
-    """id, text with a whole number for each row's id, in the ids' order, and the numbers' meaning (id, number), if needed.
+def with_numbers(docs: DataFrame, id_col: str, text_col: str, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows with a whole number for each row's id, in the ids' order, and the numbers' meaning, if needed.
 
     Where ids are whole numbers and none has several rows, they are the numbers and there is no table. Else each id and
     text has a number of its own, so rows that share an id but not a text are told apart and equal rows are not; a null
-    id has none. The table is ordered by ranges and kept in the checkpoint folder, as a rerun must give the same numbers.
+    id has none. The table (__id, __hash of the text, the number) is ordered by ranges and kept in the checkpoint folder,
+    as a rerun must give the same numbers.
     """
-    given, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("text")
-    if isinstance(docs.schema[id_col].dataType, T.IntegralType):
-        rows = docs.select(given.cast("long").alias("id"), text)
-        if rows.filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty():
-            return rows, None
-    rows = docs.select(given.alias("__id"), text).withColumn("__hash", F.xxhash64("text"))
-    numbers = checkpointed(rows.filter("__id is not null").select("__id", "__hash").distinct().orderBy("__id", "__hash").withColumn("id", F.monotonically_increasing_id()))
-    return rows.join(numbers, ["__id", "__hash"], "left").select("id", "text"), numbers.select("__id", "id")
+    given = F.col(f"`{id_col}`")
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType) and docs.filter(given.isNotNull()).groupBy(given.alias("id")).count().filter("count > 1").isEmpty():
+        return docs.withColumn(name, given.cast("long")), None
+    rows = docs.withColumn("__id", given).withColumn("__hash", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
+    numbers = checkpointed(rows.filter("__id is not null").select("__id", "__hash").distinct().orderBy("__id", "__hash").withColumn(name, F.monotonically_increasing_id()))
+    return rows.join(numbers, ["__id", "__hash"], "left").select(*[F.col(f"`{c}`") for c in docs.columns if c != name], name), numbers
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """id, text with numbers for ids, and what the numbers mean, if needed."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("given"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows, numbers = with_numbers(rows, "given", "text", "id")
+    return rows.select("id", "text"), numbers
 
 
 def renamed(out: DataFrame, numbers: DataFrame | None, id_col: str) -> DataFrame:

@@ -27,15 +27,16 @@ STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wor
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The columns of docs and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of the whole text.
 
-    A null text has no words. Three-word windows are compared by a 64-bit hash within their document, sorted beside
-    their place, so a text of n words costs n log n and needs no shuffle. Input columns of these names are replaced.
+    A null text has no words. A text's three-word windows are sorted beside their places, so equal ones are neighbours: a
+    text of n words costs n log n, in memory of a few times its size, and needs no shuffle. Input columns of these names
+    are replaced.
     """
     kept = [c for c in docs.columns if c not in STATISTICS]
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = docs.select(*kept, _once(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), "__words"))
     w, n = F.col("__words"), F.size("__words")
-    windows = F.when(n < 3, F.array().cast("array<struct<h:bigint,i:int>>")).otherwise(
-        F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.cast("int").alias("i"))))
+    windows = F.when(n < 3, F.array().cast("array<struct<h:string,i:int>>")).otherwise(
+        F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.cast("int").alias("i"))))
     )
     hashed = words.select(*kept, n.cast("long").alias("n_words"), _once(windows, "__windows"))
     v = F.col("__windows")
@@ -183,8 +184,10 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_c
     labelled = docs.join(F.broadcast(picked), id_col).select(id_col, "text", "__label", "__order")
     stats = with_statistics(labelled).filter(~base_failed())
     names = tuple(RATIOS)
-    rows = stats.select("__order", "__label", *[c.alias(k) for k, c in features_of(names).items()]).collect()
-    rows.sort(key=lambda r: tuple(r))
+    # An id may have any number of rows; its least statistics teach for all of them.
+    each = stats.select(F.col(id_col).alias("__id"), "__order", "__label", F.struct(*[c.alias(k) for k, c in features_of(names).items()]).alias("__x"))
+    rows = each.groupBy("__id").agg(F.first("__order").alias("order"), F.first("__label").alias("label"), F.min("__x").alias("x")).collect()  # at most `sample`
+    rows = sorted((r["order"], r["label"], *r["x"]) for r in rows)
     x = np.array([r[2:] for r in rows], float).reshape(-1, len(names))
     bad = np.array([r[1] == 0 for r in rows], bool)
     prune = np.array([int(r[0][:8], 16) % 3 == 0 for r in rows], bool)

@@ -13,12 +13,9 @@ from derivia.llm._common import table, word_count
 
 def tokenizer_file(name: str) -> str:
     """Where a public vocabulary file is."""
-    try:
-        import public_tokenizers
+    import public_tokenizers
 
-        return public_tokenizers.path(name)
-    except ImportError:
-        return f"/opt/tokenizers/{name}"
+    return public_tokenizers.path(name)
 
 
 def tokenizer_pattern() -> str:
@@ -27,6 +24,12 @@ def tokenizer_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """A table that is read in fewer parts than there are cores, dealt to all of them; others as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 #: Entries of the dated list that hold for whole domains.
 DOMAIN_ENTRIES = (("example.net", "block", "2024-06-01"), ("example.net", "remove", "2024-09-01"), ("example.org", "block", "2024-10-15"))
 
@@ -66,7 +69,7 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.section_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_pattern())
+    return token_counts.section_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_pattern())
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,15 +83,15 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
     out = mixing.mix(docs, size=F.col("words"))
-    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.coded(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return piece_codec.coded(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer_file("piece_bpe_32k.model"))
 
 
 def op10_quality_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
     out = quality_rules.judged(docs, rules)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -152,6 +155,6 @@ WITH sized AS (
     round(t.target)::BIGINT AS budget, CASE WHEN t.source_size > 0 THEN round(t.target)::BIGINT // t.source_size ELSE 0 END AS epochs
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 )
-SELECT doc_id, size, source_size, round(target, 6) AS target, (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::BIGINT AS taken FROM ordered
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::BIGINT AS taken FROM ordered
 """,
 }

@@ -28,6 +28,22 @@ def test_stages(spark, tmp_path):
     assert {"doc_id", "source", "ids", "n_tokens"} <= set(out.columns) and out.count() > 20
 
 
+def test_stages_of_shared_and_missing_ids(spark, tmp_path):
+    folder, _ = corpus(spark, tmp_path)
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(120))
+    rows = [(1, text(1)), (1, text(1)), (2, text(1)), (2, text(2)), (None, text(1)), (None, text(1)), (3, None), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", None, 7, "clash") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, class_id string")
+    left = corpus_pipeline.near_duplicates(spark, docs, folder)
+    assert left.schema == docs.schema
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted([(1, text(1)), (2, text(2)), (None, text(1)), (None, text(1)), (3, None), (4, "")], key=repr)
+    cut = corpus_pipeline.repeated_passages(spark, docs, folder).collect()
+    assert sorted(((r.doc_id, r.text, r.n_chars) for r in cut), key=repr) == sorted([(1, text(1), 7), (1, text(1), 7), (2, "", 0), (2, text(2), 7), (None, text(1), 7), (None, text(1), 7), (3, "", 7), (4, "", 7), (4, "", 7)], key=repr)
+    mixed = corpus_pipeline.source_mix(spark, docs, folder).collect()
+    assert {r.source for r in mixed} == {None} and all(r.text for r in mixed)
+    coded = corpus_pipeline.encoding(spark, docs, folder).collect()
+    assert len(coded) == len(rows) and all(r.n_tokens == 0 for r in coded if r.doc_id in (3, 4))
+
+
 def test_stages_on_nothing(spark, tmp_path):
     folder, docs = corpus(spark, tmp_path)
     for _, stage in corpus_pipeline.STAGES:

@@ -1,6 +1,7 @@
 """Codec, token counts, license scans, quality rules, URL filters, mixing."""
 
 import hashlib
+import os
 import random
 import re
 import textwrap
@@ -14,6 +15,7 @@ from derivia.llm import license_scan, mixing, piece_codec, quality_rules, token_
 from derivia.llm.queries import tokenizer_file, tokenizer_pattern
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LABELLED = "/root/testdata/sf0.01"
 TEXTS = [None, "", " ", "  a b", "a\n\tb　x＠é▁c", "▁▁a\x00b\n", "<s> </s><0x41>", "x" * 1000, "ab " * 300, "日本語テキスト😀 👍🏽", "퟿\U0010ffff", "trail ", "é" * 700 + " z"]
 
 
@@ -216,6 +218,23 @@ def test_learned_from_labels(spark):
     assert {r.doc_id for r in quality_rules.judged(docs, rules).filter("not kept").collect()} == set(range(0, 200, 4))
 
 
+@pytest.mark.skipif(not os.path.isdir(LABELLED), reason="needs the driver's tables")
+def test_learned_list_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"{LABELLED}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    rules = quality_rules.learn(docs, labels.filter(~held))
+    out = quality_rules.judged(docs.join(labels.filter(held), "doc_id"), rules).filter("not base_failed")
+    bad, rejected, both = out.agg(F.expr("count_if(quality = 0)"), F.expr("count_if(not kept)"), F.expr("count_if(quality = 0 and not kept)")).first()
+    assert both >= 0.9 * rejected and both >= 0.7 * bad > 0
+
+
+def test_labels_of_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, text)] * 50 + [(1, text + " ###"), (2, None), (None, text)], "doc_id long, text string")
+    rules = quality_rules.learn(docs, spark.createDataFrame([(1, 1), (1, 0), (2, 1)], "doc_id long, quality int"))
+    assert quality_rules.judged(docs, rules).filter("kept").count() == 52
+
+
 def test_url_filter(spark):
     entries = [("bad.com", "block", date(2024, 1, 10)), ("bad.com", "remove", date(2024, 2, 1)), ("bad.com/ok", "allow", date(2024, 1, 1)), ("a.bad.com", "allow", date(2024, 1, 20)), (None, "block", date(2024, 1, 1)), ("com", "block", date(2024, 1, 1))]
     pages = [
@@ -293,6 +312,17 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0), size=F.col("words")).count() == 0
 
 
+def test_mix_of_many_sources(spark):
+    """Sources in several ranges have the targets that they have in one."""
+    rng = random.Random(5)
+    sizes = {f"s{i}": rng.randint(0, 500) for i in range(300)} | {None: 40}
+    frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)
+    want = water(sizes, (3, 1, 2), 1.5, 2.0)
+    for most_in_order in (17, 1000):
+        got = {r.source: r.target for r in mixing.source_targets(frame, (3, 1, 2), 1.5, 2.0, most_in_order).collect()}
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
+
+
 def test_mixed_documents(spark):
     docs = spark.createDataFrame([(i, f" w{i}\n" + "x " * (i % 9), "en", "ab"[i % 2], 5) for i in range(60)] + [(99, None, "en", "a", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     out = mixing.mixed_documents(docs)
