@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from derivia.llm._common import arrow_setup, checkpointed, chunks, flat_bytes, flat_words, mixed, span_hashes
+from derivia.llm._common import arrow_setup, checkpointed, checkpointed_by, chunks, flat_bytes, flat_words, mixed, numbered, renamed, span_hashes
 from derivia.llm.components import components, spanning
+from derivia.llm.repeats import TABLE_BITS, key_table
 
 WORDS = 5
 #: 25 bands of 5 coordinates: a pair of similarity 0.8 shares a band with probability 0.99995, one of 0.3 with 0.06.
@@ -47,29 +48,29 @@ def darts(x: np.ndarray, weight: np.ndarray, reach: np.ndarray, seed: int = 0) -
     ones and a heavier element has more.
     """
     places, ranks, ids = [], [], []
-    slab = 0
-    while slab == 0 or reach.max(initial=0) > 2.0 ** (FIRST_SLAB + slab - 1):
-        r_lo, r_hi = (0.0 if slab == 0 else 2.0 ** (FIRST_SLAB + slab - 1)), 2.0 ** (FIRST_SLAB + slab)
-        level = 0
-        while level == 0 or weight.max(initial=0) > 2.0 ** (level - 1):
-            w_lo, w_hi = (0.0 if level == 0 else 2.0 ** (level - 1)), 2.0**level
-            at = np.flatnonzero((reach > r_lo) & (weight > w_lo))
-            if len(at):
-                cell = mixed(x[at] * _K1 + np.uint64(((seed << 20) + (slab << 8) + level + 1) * int(_K2) & 0xFFFFFFFFFFFFFFFF))
-                n = np.searchsorted(_poisson((r_hi - r_lo) * (w_hi - w_lo)), _uniform(cell), "right")
-                hit = np.repeat(np.arange(len(at)), n)
-                if len(hit):
-                    number = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)
-                    dart = mixed(cell[hit] + (number.astype(np.uint64) + np.uint64(1)) * _K3)
-                    rank = r_lo + (r_hi - r_lo) * _uniform(mixed(dart + _K2))
-                    keep = rank <= reach[at[hit]]
-                    if level or (weight[at] < w_hi).any():
-                        keep &= w_lo + (w_hi - w_lo) * _uniform(mixed(dart + _K3)) < weight[at[hit]]
-                    places.append(at[hit[keep]])
-                    ranks.append(rank[keep])
-                    ids.append(dart[keep])
-            level += 1
-        slab += 1
+    level, heavy = 0, np.flatnonzero(weight > 0)
+    while len(heavy):
+        w_lo, w_hi = (0.0 if level == 0 else 2.0 ** (level - 1)), 2.0**level
+        partly = weight[heavy] < w_hi
+        slab, r_hi = 0, 0.0
+        while reach[heavy].max() > r_hi:
+            r_lo, r_hi = r_hi, 2.0 ** (FIRST_SLAB + slab)
+            at = heavy[reach[heavy] > r_lo]
+            cell = mixed(x[at] * _K1 + np.uint64(((seed << 20) + (slab << 8) + level + 1) * int(_K2) & 0xFFFFFFFFFFFFFFFF))
+            n = np.searchsorted(_poisson((r_hi - r_lo) * (w_hi - w_lo)), _uniform(cell), "right")
+            hit = np.repeat(np.arange(len(at)), n)
+            if len(hit):
+                number = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)
+                dart = mixed(cell[hit] + (number.astype(np.uint64) + np.uint64(1)) * _K3)
+                rank = r_lo + (r_hi - r_lo) * _uniform(mixed(dart + _K2))
+                keep = rank <= reach[at[hit]]
+                if partly.any():
+                    keep &= w_lo + (w_hi - w_lo) * _uniform(mixed(dart + _K3)) < weight[at[hit]]
+                places.append(at[hit[keep]])
+                ranks.append(rank[keep])
+                ids.append(dart[keep])
+            slab += 1
+        level, heavy = level + 1, heavy[weight[heavy] > w_hi]
     return np.concatenate(places or [np.zeros(0, np.int64)]), np.concatenate(ranks or [np.zeros(0)]), np.concatenate(ids or [np.zeros(0, np.uint64)])
 
 
@@ -97,8 +98,8 @@ def signatures(x: np.ndarray, weight: np.ndarray, offsets: np.ndarray, k: int, s
     return out
 
 
-def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of the word windows of each text, and the texts' offsets into them.
+def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the word windows of each text, how often each is there, and the texts' offsets into both.
 
     A text of fewer words has one window of all of them, an empty one none.
     """
@@ -112,8 +113,7 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
     sets = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         if b - a >= words:
-            s = np.sort(whole[a : b - words + 1])
-            sets.append(s[np.r_[True, s[1:] != s[:-1]]])
+            sets.append(np.sort(whole[a : b - words + 1]))
         elif b > a:
             x = np.zeros(1, np.uint64)
             for i in range(a, b):
@@ -121,36 +121,68 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
             sets.append(x)
         else:
             sets.append(np.zeros(0, np.uint64))
-    return np.concatenate(sets or [whole[:0]]), np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int64)
+    all_ = np.concatenate(sets or [whole[:0]])
+    ends = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int64)
+    fresh = np.r_[True, all_[1:] != all_[:-1]][: len(all_)]
+    fresh[ends[:-1][ends[:-1] < len(all_)]] = True
+    first = np.flatnonzero(fresh)
+    return all_[first], np.diff(np.r_[first, len(all_)]), np.searchsorted(first, ends)
+
+
+def expanded(x: np.ndarray, times: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Each weighted set as a plain one: of an element of weight k, the element itself and k - 1 more hashes.
+
+    The weighted Jaccard similarity of two sets is the Jaccard similarity of their plain ones.
+    """
+    each, ends = np.repeat(x, times), np.r_[0, np.cumsum(times)]
+    nth = np.arange(len(each)) - np.repeat(ends[:-1], times)
+    more = nth > 0
+    each[more] = mixed(each[more] + nth[more].astype(np.uint64) * _K3)
+    return [np.sort(each[ends[a] : ends[b]]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
 def banded(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, seed: int = 0) -> DataFrame:
-    """id, digest of the window set (null without words), and a key for each band of the signature."""
+    """id, digest of the windows and their numbers (null without words), and a key for each band of the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            x, offsets = shingles(batch.column("text"), words)
-            sign = signatures(x, np.ones(len(x)), offsets, bands * rows, seed).reshape(len(batch), bands, rows)
+            x, times, offsets = shingles(batch.column("text"), words)
+            sign = signatures(x, times.astype(np.float64), offsets, bands * rows, seed).reshape(len(batch), bands, rows)
             keys = np.tile(np.arange(1, bands + 1, dtype=np.uint64) * _K2, (len(batch), 1))
             for r in range(rows):
                 keys = mixed(keys * _K1 + sign[:, :, r])
-            digest = [hashlib.blake2b(x[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            digest = [hashlib.blake2b(x[a:b].tobytes() + times[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digest, pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1).view(np.int64)), bands).cast(pa.list_(pa.int64()))], ["id", "digest", "bands"])
 
     return docs.mapInArrow(run, "id long, digest binary, bands array<long>")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, words: int, repeated: bool) -> DataFrame:
+    """id, grams of the wanted ids, dealt by id, perhaps of some others too; `repeated`: ids may have several, equal rows.
+
+    The texts are read where they are: a bit table of fixed size tells which are wanted. Where they are too many for it,
+    the ids are joined.
+    """
+    spark, count = docs.sparkSession, wanted.count()
+    if count <= 1 << (TABLE_BITS - 4):
+        some = spark.sparkContext.broadcast(key_table(wanted.select(F.xxhash64("id").alias("key")), count))
+        docs = docs.withColumn("key", F.xxhash64("id"))
+    else:
+        some, docs = None, docs.join(wanted, "id", "left_semi")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if some is not None:
+            batches = (b.filter(pa.array(some.value.has(b.column("key").to_numpy().view(np.uint64)))) for b in batches)
         for batch in chunks(batches):
-            x, offsets = shingles(batch.column("text"), words)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["id", "grams"])
+            sets = expanded(*shingles(batch.column("text"), words))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "grams"])
 
-    return docs.mapInArrow(run, "id long, grams binary")
+    out = docs.filter("id is not null").mapInArrow(run, "id long, grams binary")
+    return checkpointed_by(out.dropDuplicates(["id"]) if repeated else out, "id")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (a, b) whose window sets have at least this Jaccard similarity."""
+    """Those of the pairs (a, b) whose windows have at least this similarity."""
     one = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
     both = one.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b").filter(
         # Sets of too different sizes can't be that similar.
@@ -230,12 +262,16 @@ def _linked_blocks(rows: DataFrame, least: float) -> DataFrame:
 
 
 def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, block: int = BLOCK, seed: int = 0) -> DataFrame:
-    """One row per document: id, class_id (smallest id of its class), kept (whether that is its own).
+    """One row per document: id, class_id (smallest id of its class), kept (whether the document is its class's first).
+
+    A class is a connected component of links: weighted Jaccard similarity of at least 0.8 of the five-word windows, each
+    weighing as often as it is in the text. Documents of equal windows, copies among them, become one member before
+    anything is paired; documents without words are alone, shorter ones have one window of all their words.
 
-    A class is a connected component of links: Jaccard similarity of the sets of five-word windows of at least 0.8.
-    Documents of equal window sets, copies among them, become one member before anything is paired; documents without
-    words are alone, shorter ones have one window of all their words. A null id has no class and is kept; rows of one
-    id count as one document. An empty table gives an empty one.
+    Ids may be of any type that has an order; a null id has no class and is kept. Equal rows (id and text) are one
+    document with a row each; rows of one id with different texts are documents of their own, though their class may be
+    told by the same id. An empty table gives an empty one. A text is worked on in one task, in memory of about fifty times
+    its size. Other columns, whatever their names, do not matter.
 
     Candidates share a band of their DartMinHash signatures. In each round every member of a bucket with several
     classes is verified against one other. Then, in buckets whose classes still differ, all members are, block by
@@ -245,13 +281,13 @@ def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     arrow_setup(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base, numbers = numbered(docs, id_col, text_col)
     signed = checkpointed(banded(base, bands=bands, rows=rows, words=words, seed=seed))
     members = signed.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
     placed = members.select("rep", F.explode("bands").alias("key"))
     crowded = placed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
     met = checkpointed(placed.join(crowded, "key").select("key", F.col("rep").alias("id")))
-    sets = checkpointed(_sets(base.join(met.select("id").distinct(), "id", "left_semi"), words))
+    sets = _sets(base, met.select("id").distinct(), words, numbers is not None)
     links = spark.createDataFrame([], "a long, b long")
     state = met.withColumn("part", F.col("id"))
     for k in range(rounds + 1):
@@ -273,4 +309,8 @@ def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         state = met.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
         links = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
     classes = members.join(links, F.col("rep") == F.col("a"), "left").select("digest", F.coalesce("b", "rep").alias("class_id"))
-    return signed.join(classes, "digest", "left").select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"), F.coalesce(F.coalesce("class_id", "id") == F.col("id"), F.lit(True)).alias("kept"))
+    own, of = F.col("id"), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id"))
+    out = signed.join(classes, "digest", "left").select("id", of.alias("class_id"), F.coalesce(of == own, F.lit(True)).alias("kept"))
+    if numbers is not None:
+        out = out.join(numbers.select(F.col("id").alias("class_id"), F.col("__id").alias("__class")), "class_id", "left").select("id", F.col("__class").alias("class_id"), "kept")
+    return renamed(out, numbers, id_col)

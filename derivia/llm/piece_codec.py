@@ -314,6 +314,10 @@ def coded(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col:
     and the decoded text themselves. A null text counts as empty and has no tokens. The vocabulary file goes to the
     executors as a job file and is read once in each worker. Documents are cut into words at the marks, which no piece
     spans; each distinct word of a few megabytes of text is merged once, all of them in the same rounds.
+
+    Repeated rows are encoded each by itself; an empty table gives an empty one; ids may be of any type, and null. A text
+    is encoded in one task, in memory of about fifty times its size. Carried columns must not have names of the results;
+    other columns, whatever their names, do not matter.
     """
     spark = docs.sparkSession
     arrow_setup(spark)

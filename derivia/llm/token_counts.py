@@ -74,7 +74,9 @@ def section_tokens(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: st
 
     A section is a line with its line end; the first is the field `title`, the others `body`. The document is encoded
     once as a whole, never section by section, and `rule` says whose a token is that crosses a border. A null or empty
-    text has one empty section without tokens. Repeated rows are counted each by itself.
+    text has one empty section without tokens. Repeated rows are counted each by itself. An empty table gives an empty one.
+    A text is encoded in one task, in memory of about fifty times its size. Ids may be of any type, and null; other
+    columns, whatever their names, do not matter.
     """
     spark = docs.sparkSession
     arrow_setup(spark)
