@@ -36,17 +36,30 @@ def share_delta(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
 KS_RANGES = 256
 
 
+def _range_of(value: Column, edges: Sequence[float]) -> Column:
+    """How many of the sorted edges are at most the value, by a balanced tree of comparisons."""
+
+    def between(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        middle = (lo + hi) // 2
+        return F.when(value < F.lit(edges[middle]), between(lo, middle)).otherwise(between(middle + 1, hi))
+
+    return between(0, len(edges))
+
+
 def ks(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """One row, statistic, n, m: the largest difference of both distribution functions; null if a side is empty.
 
-    Equal values are counted first. Their cumulative counts come from sums over ranges of the value, then from running
-    sums within each range.
+    Equal values are counted first. Their cumulative counts come from sums over ranges of the values, then from running
+    sums within each range; the ranges hold about as many values each, whatever outliers there are, as their edges are
+    approximate quantiles of the values that differ, which a job finds first.
     """
     one = a.select(number(a, column).alias("v"), F.lit(1).alias("x"), F.lit(0).alias("y"))
     both = one.union(b.select(number(b, column).alias("v"), F.lit(0).alias("x"), F.lit(1).alias("y"))).filter("v is not null")
     counts = both.groupBy("v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    edges = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    placed = counts.join(F.broadcast(edges)).withColumn("r", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * (KS_RANGES - 1))).otherwise(0))
+    found = counts.agg(F.percentile_approx("v", [k / KS_RANGES for k in range(1, KS_RANGES)], 4 * KS_RANGES)).first()[0]
+    placed = counts.withColumn("r", _range_of(F.col("v"), sorted(set(found or []))))
     before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     ranges = placed.groupBy("r").agg(F.sum("x").alias("rx"), F.sum("y").alias("ry"))
     total = Window.partitionBy()

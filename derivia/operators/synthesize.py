@@ -8,7 +8,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -33,6 +33,19 @@ def _sized(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= FIT_CAP else table
 
 
+#: Copies of a row that are told apart by one row of a generator.
+COPIES = 10_000
+
+
+def _told_apart(frame: DataFrame, text: Column) -> DataFrame:
+    """The rows with `_dv_text` and `_dv_nth`, their number among equal ones. Equal rows are counted, never gathered."""
+    counted = frame.groupBy(*[F.col(f"`{c}`") for c in frame.columns]).agg(F.count("*").alias("_dv_n")).withColumn("_dv_text", text)
+    runs = counted.withColumn("_dv_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_dv_n") - 1) / COPIES))))
+    last = F.least(F.col("_dv_n"), (F.col("_dv_run") + 1) * COPIES)
+    dealt = runs.repartition("_dv_text", "_dv_run")
+    return dealt.withColumn("_dv_nth", F.explode(F.sequence(F.col("_dv_run") * COPIES + 1, last))).drop("_dv_n", "_dv_run")
+
+
 def training_sample(frame: DataFrame, cap: int, seed: int | str, table: str, order_by: Sequence[str] = ()) -> tuple[pd.DataFrame, bool]:
     """At most cap rows in a fixed order, and whether that is a sample.
 
@@ -44,8 +57,7 @@ def training_sample(frame: DataFrame, cap: int, seed: int | str, table: str, ord
     n = frame.count()
     if n > cap:
         text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in (list(order_by) or sorted(frame.columns))]))
-        keyed = frame.withColumn("_dv_text", text)
-        keyed = keyed.withColumn("_dv_nth", F.lit(1)) if order_by else keyed.withColumn("_dv_nth", F.row_number().over(Window.partitionBy("_dv_text").orderBy("_dv_text")))
+        keyed = frame.withColumn("_dv_text", text).withColumn("_dv_nth", F.lit(1)) if order_by else _told_apart(frame, text)
         frame = keyed.filter(derive.unit(F.concat_ws("|", "_dv_text", "_dv_nth"), seed, f"fitsample\0{table}") < cap / n)
     return frame.orderBy(*order).limit(cap).select(*[F.col(f"`{c}`") for c in columns]).toPandas(), n > cap
 

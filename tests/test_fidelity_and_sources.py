@@ -159,3 +159,18 @@ def test_streaming_agrees_with_batch(spark, tmp_path):
     want = prepare(spark.read.parquet(src))
     got = spark.read.parquet(out).select(*want.columns)
     assert got.count() == 200 and want.exceptAll(got).isEmpty()
+
+
+def test_ks_with_outliers_and_ties(spark, monkeypatch):
+    from derivia.operators import fidelity
+
+    rng = np.random.default_rng(3)
+    a = np.r_[rng.normal(size=800), 1e300, -1e300, np.zeros(200)]
+    b = np.r_[rng.normal(0.3, 1, 700), np.zeros(50), 1e-300]
+    grid = np.unique(np.r_[a, b])
+    want = np.abs(np.searchsorted(np.sort(a), grid, "right") / len(a) - np.searchsorted(np.sort(b), grid, "right") / len(b)).max()
+    frames = [spark.createDataFrame([(float(x),) for x in v], "v double") for v in (a, b)]
+    for ranges in (2, 256):
+        monkeypatch.setattr(fidelity, "KS_RANGES", ranges)
+        s, n, m = fidelity.ks(*frames, "v").first()
+        assert abs(s - want) < 1e-12 and (n, m) == (len(a), len(b))

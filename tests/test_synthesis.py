@@ -178,3 +178,16 @@ def test_scope_fetches_on_run(spark, monkeypatch):
     s = mode.schema(entities=[e], tables=[mode.table("t", grain="p", carry="*")])
     assert not asked
     assert s.run()["t"].filter("age < 20").count() == 0 and asked == ["NY"]
+
+
+def test_sample_of_equal_rows(spark, monkeypatch):
+    """Copies are drawn each by itself, whatever way the rows lie, and however many copies one row of a generator holds."""
+    from derivia.operators import synthesize
+
+    rows = spark.range(3000).select((F.col("id") % 3).alias("v"), F.when(F.col("id") % 3 > 0, "x").alias("w"))
+    want, sampled = synthesize.training_sample(rows, 900, 7, "t")
+    assert sampled and 800 < len(want) <= 900
+    monkeypatch.setattr(synthesize, "COPIES", 7)
+    got, _ = synthesize.training_sample(rows.repartition(5), 900, 7, "t")
+    assert got.equals(want)
+    assert 200 < (want.v == 0).sum() < 400 and (want.w.isna() == (want.v == 0)).all()
