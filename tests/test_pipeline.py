@@ -185,3 +185,36 @@ def test_no_shuffle_in_generation(spark, capsys):
     run([wages()])["wages"].explain()
     plan = capsys.readouterr().out
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_checks_read_many_partitions_by_few_tasks(spark):
+    """A partition for every entity is checked as it is, yet no stage has a task for each."""
+    schema = dv.Schema([dv.Entity("person", 1500, {"education": dv.Choice(["HS", "College"])})], [dv.Table("roster", "person", carry="*")], 3)
+    context = spark.sparkContext
+    context.setJobGroup("many partitions", "")
+    try:
+        dv.check_generator(dv.RuleGenerator(), schema, spark=spark, split_rows=1)
+        dv.check_synthesizer(Late(), schema, spark=spark, split_rows=1000)
+        with pytest.raises(dv.GeneratorConformanceError, match="partitions"):
+            dv.check_generator(LateRows(), schema, spark=spark, split_rows=1)
+        with pytest.raises(dv.SynthesizerConformanceError, match="partitions"):
+            dv.check_synthesizer(Late(), schema, spark=spark, split_rows=1)
+        tracker = context.statusTracker()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("many partitions") for s in tracker.getJobInfo(j).stageIds]
+        assert max(s.numTasks for s in stages if s) < 100
+    finally:
+        context.setJobGroup("", "")
+
+
+class Late:
+    """Another value in the partitions from the thousandth on, so only where none of them have been put together."""
+
+    columns = ("education",)
+
+    def run(self, df, table, ctx):
+        return df.withColumn("education", F.when(F.spark_partition_id() < 1000, F.col("education")).otherwise("late"))
+
+
+class LateRows(dv.RuleGenerator):
+    def emit(self, table, ctx):
+        return Late().run(super().emit(table, ctx), table, ctx)
