@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -22,7 +23,7 @@ from derivia.plans.registry import register
 from derivia.plans.schema import INDEX, ORDINAL, ROW_KEY, Table
 from derivia.plans.shipping import ship
 
-#: Rows that a fit uses at most; also the bound of what the driver holds and of the donors that are broadcast.
+#: Rows that a fit holds at most; also the bound of what the driver holds and of the donors that are broadcast.
 FIT_CAP = 200_000
 #: Codes of so many categories or fewer become a map in the expression, more of them a broadcast join.
 MAP_CATEGORIES = 256
@@ -62,10 +63,85 @@ def training_sample(frame: DataFrame, cap: int, seed: int | str, table: str, ord
     return frame.orderBy(*order).limit(cap).select(*[F.col(f"`{c}`") for c in columns]).toPandas(), n > cap
 
 
+#: Different donors that are numbered in one task, about, and the ranges of their order at most.
+RANGE_ROWS, RANGES = 50_000, 1024
+
+
+def _ranged(rows: DataFrame, order: Sequence[str], n: int) -> Column:
+    """The range of a row's place in the order, some RANGE_ROWS of n rows each; equal rows share one.
+
+    The edges come from a sample; which ones they are changes how the work is dealt, not the order.
+    """
+    ranges = min(RANGES, -(-n // RANGE_ROWS))
+    if ranges < 2:
+        return F.lit(0)
+    types = [rows.schema[c].dataType for c in order]
+    drawn = rows.sample(min(1.0, 32 * ranges / n), 1).select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(order)]).distinct()
+    picked = drawn.orderBy(*drawn.columns).collect()
+    edges = picked[:: -(-len(picked) // ranges) or 1][1:]
+    key = F.struct(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(order)])
+
+    def found(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        edge = F.struct(*[F.lit(v).cast(t).alias(f"_{i}") for i, (v, t) in enumerate(zip(edges[middle], types, strict=True))])
+        return F.when(key < edge, found(low, middle)).otherwise(found(middle + 1, high))
+
+    return found(0, len(edges))
+
+
+@dataclass
+class Pool:
+    """Donors as intervals of slots, `from` up to, not including, `to`: a row for each cell of `width` slots that one touches."""
+
+    frame: DataFrame
+    rows: int
+    width: int
+    places: dict[int, tuple[int, int]]
+
+    def drawn(self, df: DataFrame, slot: Column) -> DataFrame:
+        """The rows with `_dv_donor`, what the donor in their slot holds."""
+        at = df.withColumn("_dv_slot", slot.cast("long")).withColumn("_dv_cell", F.expr(f"_dv_slot div {self.width}"))
+        inside = (F.col("_dv_slot") >= F.col("_dv_from")) & (F.col("_dv_slot") < F.col("_dv_to"))
+        pool = _sized(self.frame, self.rows).withColumnRenamed("_dv_cell", "_dv_of")
+        return at.join(pool, (F.col("_dv_cell") == F.col("_dv_of")) & inside, "left")
+
+
+def pooled(rows: DataFrame, leaf: Column, target: str, order_by: Sequence[str] = ()) -> Pool:
+    """Every row a donor of its leaf, numbered from the leaf's start in the rows' order, or that of their content.
+
+    Equal rows are counted, not numbered one by one, and the others are numbered range by range of their order, so
+    neither many copies nor one large leaf come to a single task, and the driver holds no more than the leaves.
+    """
+    own = [c for c in rows.columns if not c.startswith("_dv_code_")]
+    order = [*order_by, *sorted(c for c in own if c not in order_by)]
+    keys = [F.col(f"`{c}`") for c in order]
+    counted = rows.withColumn("_dv_leaf", leaf).groupBy("_dv_leaf", *keys).agg(F.count("*").alias("_dv_n"))
+    sizes = sorted(counted.groupBy("_dv_leaf").agg(F.sum("_dv_n"), F.count("*")).collect())
+    n, different = sum(r[1] for r in sizes), sum(r[2] for r in sizes)
+    starts = np.concatenate(([0], np.cumsum([r[1] for r in sizes])[:-1])).tolist()
+    ranged = counted.withColumn("_dv_range", _ranged(rows, order, n))
+    before = Window.partitionBy("_dv_leaf").orderBy("_dv_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_dv_leaf", "_dv_range").agg(F.sum("_dv_n").alias("_dv_sum")).withColumn("_dv_before", F.coalesce(F.sum("_dv_sum").over(before), F.lit(0)))
+    first = rows.sparkSession.createDataFrame([(r[0], int(s)) for r, s in zip(sizes, starts, strict=True)], T.StructType([T.StructField("_dv_leaf", T.IntegerType()), T.StructField("_dv_start", T.LongType())]))
+    offsets = sums.join(_sized(first, len(sizes)), "_dv_leaf").select("_dv_leaf", "_dv_range", (F.col("_dv_start") + F.col("_dv_before")).alias("_dv_offset"))
+    upto = F.sum("_dv_n").over(Window.partitionBy("_dv_leaf", "_dv_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.withColumn("_dv_upto", upto).join(offsets, ["_dv_leaf", "_dv_range"])
+    width = max(1, n // different)
+    to = F.col("_dv_offset") + F.col("_dv_upto")
+    intervals = placed.select(F.col(f"`{target}`").alias("_dv_donor"), (to - F.col("_dv_n")).alias("_dv_from"), to.alias("_dv_to"))
+    # Two steps, so that no array holds all the cells of a donor with very many copies.
+    runs = intervals.withColumn("_dv_run", F.explode(F.expr(f"sequence(_dv_from div {width} div {COPIES}, (_dv_to - 1) div {width} div {COPIES})")))
+    cells = F.expr(f"sequence(greatest(_dv_from div {width}, _dv_run * {COPIES}), least((_dv_to - 1) div {width}, _dv_run * {COPIES} + {COPIES - 1}))")
+    return Pool(runs.withColumn("_dv_cell", F.explode(cells)).drop("_dv_run"), different + -(-n // width), width, {r[0]: (s, r[1]) for r, s in zip(sizes, starts, strict=True)})
+
+
 class FittedCART:
-    """Trees and donors, one of each for a synthesized column."""
+    """Trees and donors, one of each for a synthesized column. The donors are the training rows, or those of a frame in its order."""
 
-    def __init__(self, columns: Sequence[str], predictors: Sequence[str], numeric: Sequence[str], types: Mapping[str, T.DataType], train: pd.DataFrame, *, max_depth: int | None, min_leaf: int, seed: int | str):
+    def __init__(self, columns: Sequence[str], predictors: Sequence[str], numeric: Sequence[str], types: Mapping[str, T.DataType], train: pd.DataFrame, *, max_depth: int | None, min_leaf: int, seed: int | str, donors: DataFrame | None = None, order_by: Sequence[str] = ()):
+        self.donors, self.order_by = donors, list(order_by)
         self.columns, self.predictors, self.types = list(columns), list(predictors), dict(types)
         self.train, self.seed = train, seed
         self.is_number = {c: c in numeric or isinstance(types[c], (T.NumericType, T.BooleanType)) for c in [*columns, *predictors]}
@@ -125,28 +201,59 @@ class FittedCART:
         for target in self.columns:
             salt = f"synth\0{table}\0{target}"
             if target not in self.trees:
+                if self.donors is not None:
+                    pool = pooled(self.donors, F.lit(0), target, self.order_by)
+                    df = self._put(pool.drawn(df, derive.integers(F.col(ROW_KEY), seed, salt, 0, pool.places[0][1])), target, names)
+                    continue
                 slot = derive.integers(F.col(ROW_KEY), seed, salt, 0, len(self.train))
                 df = self._donated(df, target, slot, np.arange(len(self.train)))
                 continue
             tree, features = self.trees[target]
-            columns = []
-            for f in features:
-                df, column = self._feature(df, f)
-                columns.append(column)
+            df, columns = self._features(df, features)
             u = derive.unit(F.col(ROW_KEY), seed, salt)
-            rows = self.leaf_rows[target]
+            rows, pool = self.leaf_rows[target], None
             leaves = list(rows)
-            sizes = [len(rows[k]) for k in leaves]
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).tolist()
+            if self.donors is None:
+                sizes = [len(rows[k]) for k in leaves]
+                starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).tolist()
+            else:
+                pool = self._pool(target)
+                if lost := set(leaves) - set(pool.places):
+                    raise ValueError(f"{len(lost)} leaves of {target!r} have no donors")
+                starts, sizes = zip(*(pool.places[k] for k in leaves), strict=True)
             if len(leaves) <= cart.CASE_LEAVES:
-                place = tree.column(columns, {k: F.struct(F.lit(int(s)).alias("s"), F.lit(int(n)).alias("n")) for k, s, n in zip(leaves, starts, sizes, strict=True)})
+                place = tree.column(columns, {k: F.struct(F.lit(int(s)).cast("long").alias("s"), F.lit(int(n)).cast("long").alias("n")) for k, s, n in zip(leaves, starts, sizes, strict=True)})
                 df = df.withColumn("_dv_place", place)
                 slot = F.col("_dv_place.s") + F.least(F.floor(u * F.col("_dv_place.n")), F.col("_dv_place.n") - 1)
             else:
                 slot = _looked_up(df.sparkSession, tree, dict(zip(leaves, zip(starts, sizes, strict=True), strict=True)))(u, *columns)
+            if pool is not None:
+                df = self._put(pool.drawn(df, slot), target, names)
+                continue
             df = self._donated(df, target, slot, np.concatenate([rows[k] for k in leaves])).select(*[F.col(f"`{c}`") for c in names])
         return df
 
+    def _features(self, df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+        columns = []
+        for f in features:
+            df, column = self._feature(df, f)
+            columns.append(column)
+        return df, columns
+
+    def _pool(self, target: str) -> Pool:
+        """The frame's donors by the leaf that each falls into."""
+        tree, features = self.trees[target]
+        rows, columns = self._features(self.donors, features)
+        if len(tree.leaves) <= cart.CASE_LEAVES:
+            leaf = tree.column(columns, {int(k): F.lit(int(k)) for k in tree.leaves})
+        else:
+            leaf = _looked_up(rows.sparkSession, tree, {int(k): (int(k), 1) for k in tree.leaves})(F.lit(0.0), *columns)
+        return pooled(rows, leaf.cast("int"), target, self.order_by)
+
+    def _put(self, drawn: DataFrame, target: str, names: Sequence[str]) -> DataFrame:
+        kind = self.types[target]
+        return drawn.select(*[F.col("_dv_donor").cast(kind).alias(c) if c == target else F.col(f"`{c}`") for c in names])
+
 
 def _looked_up(spark, tree: cart.Tree, places: Mapping[int, tuple[int, int]]):
     """A vectorised function of the draw and the features that gives the donor's slot; for trees too large for an expression."""
@@ -172,6 +279,8 @@ class CARTSynthesizer:
     columns: to synthesize, each conditioned on those before it. predictors: to condition on only. tables: the tables
     to apply it to, all if unset. numeric: text columns that hold numbers. structure: what to learn from. fit_cap,
     max_depth, min_samples_leaf: how closely to fit. label: tells several synthesizers of one table apart in reports.
+    A fit_cap bounds the rows of a structure source that are learned from and drawn. Unset, every row is drawn from,
+    and the default cap bounds what a tree is fitted on only.
     """
 
     def __init__(self, columns: Sequence[str], *, tables: Sequence[str] | None = None, predictors: Sequence[str] = (), numeric: Sequence[str] = (), structure: Any = None, fit_cap: Any = None, max_depth: int | None = None, min_samples_leaf: Any = 5, label: str | None = None):
@@ -180,6 +289,7 @@ class CARTSynthesizer:
         self.columns, self.predictors, self.numeric = list(columns), list(predictors), set(numeric)
         self.tables = None if tables is None else set(tables)
         self.structure = coerce_structure(structure)
+        self.draws_all = fit_cap is None
         self.fit_cap = modeled(FIT_CAP, "default cap of rows to fit on") if fit_cap is None else as_tagged(fit_cap)
         self.max_depth, self.label = max_depth, label
         self.min_samples_leaf = modeled(min_samples_leaf, "leaf size") if isinstance(min_samples_leaf, int) else as_tagged(min_samples_leaf)
@@ -207,6 +317,7 @@ class CARTSynthesizer:
         if missing:
             raise KeyError(f"table {table.name!r} has no {missing} to synthesize")
         quoted = [F.col(f"`{c}`") for c in wanted]
+        donors, order, fit_rows = None, [], None
         if frame is None:
             train, sampled = df.orderBy(INDEX, ORDINAL).limit(cap).select(*quoted).toPandas(), False
             if train.empty:
@@ -214,10 +325,16 @@ class CARTSynthesizer:
         else:
             order = list(getattr(self.structure, "order_by", ()))
             kept = [*quoted, *[F.col(f"`{c}`") for c in order if c not in wanted]]
-            train, sampled = training_sample(frame.select(*kept), cap, ctx.seed, table.name, order)
-        model = FittedCART(self.columns, self.predictors, self.numeric, {c: source.schema[c].dataType for c in wanted}, train, max_depth=self.max_depth, min_leaf=leaf, seed=ctx.seed)
+            rows = frame.select(*kept)
+            if self.draws_all and (n := rows.count()) > cap:
+                donors = rows
+            if donors is not None and len(wanted) == 1:
+                train, sampled, fit_rows = rows.limit(0).toPandas(), False, n  # no tree, only draws
+            else:
+                train, sampled = training_sample(rows, cap, ctx.seed, table.name, order)
+        model = FittedCART(self.columns, self.predictors, self.numeric, {c: source.schema[c].dataType for c in wanted}, train, max_depth=self.max_depth, min_leaf=leaf, seed=ctx.seed, donors=donors, order_by=order)
         self._diagnostics[table.name] = {}
-        ctx.report(table.name, f"synthesize{suffix}", fit_rows=len(train), fit_cap=cap, sampled=sampled, columns=list(self.columns), numeric=sorted(self.numeric), source=type(self.structure).__name__)
+        ctx.report(table.name, f"synthesize{suffix}", fit_rows=len(train) if fit_rows is None else fit_rows, fit_cap=cap, sampled=sampled, columns=list(self.columns), numeric=sorted(self.numeric), source=type(self.structure).__name__)
         return model.apply(df, ctx.seed, table.name)
 
 

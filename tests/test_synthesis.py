@@ -191,3 +191,39 @@ def test_sample_of_equal_rows(spark, monkeypatch):
     got, _ = synthesize.training_sample(rows.repartition(5), 900, 7, "t")
     assert got.equals(want)
     assert 200 < (want.v == 0).sum() < 400 and (want.w.isna() == (want.v == 0)).all()
+
+
+@pytest.mark.parametrize("order_by", [["id"], []])
+def test_all_rows_are_drawn_from_above_the_default_cap(spark, monkeypatch, order_by):
+    """Each row draws from all donors in their order, or in that of their content, many copies and nulls among them; a cap that is given holds."""
+    from derivia.functions.derive import hash_key
+    from derivia.operators import synthesize
+
+    for name, value in (("FIT_CAP", 60), ("RANGE_ROWS", 90), ("COPIES", 7)):
+        monkeypatch.setattr(synthesize, name, value)
+    values = [None] * 300 + [5.0] * 900 + [float(v) for v in range(10, 610)]
+    shuffled = np.random.default_rng(3).permutation(len(values))
+    frame = spark.createDataFrame([(int(i), values[j]) for i, j in enumerate(shuffled)], "id long, wage double").repartition(5)
+    ordered = [values[j] for j in shuffled] if order_by else values
+
+    def made(**more):
+        structure = dv.Empirical(frame if order_by else frame.select("wage"), order_by=order_by)
+        r = dv.Pipeline(schema(500), synthesizer=dv.CARTSynthesizer(["wage"], structure=structure, **more)).run()
+        return r.metadata["t"]["synthesize"], [x.wage for x in r["t"].select("wage").collect()]
+
+    def draw(i):
+        return int(hashlib.md5((hash_key(7, "synth\0t\0wage") + f"person:{i}").encode()).hexdigest()[:16], 16) % len(values)
+
+    facts, got = made()
+    assert sorted(got, key=repr) == sorted((ordered[draw(i)] for i in range(500)), key=repr)
+    assert facts["fit_rows"] == 1800 and not facts["sampled"]
+    facts, got = made(fit_cap=30)
+    assert facts["sampled"] and facts["fit_rows"] <= 30 and len(set(got)) <= 30
+
+
+def test_chain_draws_from_all_rows_above_the_default_cap(spark, tmp_path, monkeypatch):
+    from derivia.operators import synthesize
+
+    monkeypatch.setattr(synthesize, "FIT_CAP", 1000)
+    monkeypatch.setattr(synthesize, "RANGE_ROWS", 2000)
+    test_chain_query_draws_from_all_donors(spark, tmp_path)
