@@ -53,21 +53,23 @@ def _ranked(seed: int | str, target: str, names: Sequence[str]) -> list[int]:
     return sorted(range(len(names)), key=lambda i: hashlib.sha256(f"{seed}\0cart\0{target}\0{names[i]}".encode()).hexdigest())
 
 
-def fit(x: np.ndarray, y: np.ndarray, classes: int | None, names: Sequence[str], *, max_depth: int | None = None, min_leaf: int = 5, seed: int | str = 0, target: str = "") -> Tree:
+def fit(x: np.ndarray, y: np.ndarray, classes: int | None, names: Sequence[str], *, max_depth: int | None = None, min_leaf: int = 5, seed: int | str = 0, target: str = "", weights: np.ndarray | None = None) -> Tree:
     """Split by least squared error, or by least Gini impurity where y holds `classes` codes, at midpoints.
 
     Both sides keep min_leaf rows. Equal gains go to the first feature of a seeded order, then the lowest threshold.
+    weights: of how many equal rows each one stands.
     """
+    w = np.ones(len(x)) if weights is None else np.asarray(weights, float)
     order = _ranked(seed, target, names)
     feature, threshold, left, right = [-1], [0.0], [-1], [-1]
     stack = [(0, np.arange(len(x)), 0)]
     while stack:
         i, rows, depth = stack.pop()
-        if len(rows) < 2 * min_leaf or (max_depth is not None and depth >= max_depth):
+        if w[rows].sum() < 2 * min_leaf or (max_depth is not None and depth >= max_depth):
             continue
         best = None
         for f in order:
-            found = _split(x[rows, f], y[rows], classes, min_leaf)
+            found = _split(x[rows, f], y[rows], w[rows], classes, min_leaf)
             if found and (best is None or found[0] > best[0] + 1e-12 * max(1.0, abs(best[0]))):
                 best = (*found, f)
         if best is None:
@@ -81,21 +83,23 @@ def fit(x: np.ndarray, y: np.ndarray, classes: int | None, names: Sequence[str],
     return Tree(*(np.array(a) for a in (feature, threshold, left, right)))
 
 
-def _split(x: np.ndarray, y: np.ndarray, classes: int | None, min_leaf: int) -> tuple[float, float] | None:
-    """Gain and threshold of the best split of one feature."""
-    n = len(x)
+def _split(x: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int | None, min_leaf: int) -> tuple[float, float] | None:
+    """Gain and threshold of the best split of one feature; w tells how many rows each one stands for."""
     order = np.argsort(x, kind="stable")
-    x, y = x[order], y[order]
-    cuts = np.arange(min_leaf, n - min_leaf + 1)
-    cuts = cuts[x[cuts - 1] < x[cuts]]
+    x, y, w = x[order], y[order], w[order]
+    upto = np.cumsum(w)
+    n = upto[-1]
+    cuts = np.flatnonzero(x[:-1] < x[1:]) + 1
+    cuts = cuts[(upto[cuts - 1] >= min_leaf) & (n - upto[cuts - 1] >= min_leaf)]
     if not len(cuts):
         return None
+    left = upto[cuts - 1]
     if classes is None:
-        z = y - y.mean()  # centred, so that sums of squares keep their digits
-        sums = np.cumsum(z)
+        z = y - (w * y).sum() / n  # centred, so that sums of squares keep their digits
+        sums = np.cumsum(w * z)
         a, total = sums[cuts - 1], sums[-1]
-        gain = a * a / cuts + (total - a) ** 2 / (n - cuts) - total * total / n
-        floor = 1e-12 * float((z * z).sum())
+        gain = a * a / left + (total - a) ** 2 / (n - left) - total * total / n
+        floor = 1e-12 * float((w * z * z).sum())
     else:
         used, codes = np.unique(y, return_inverse=True)
         if len(used) < 2:
@@ -103,9 +107,9 @@ def _split(x: np.ndarray, y: np.ndarray, classes: int | None, min_leaf: int) ->
         gain = np.zeros(len(cuts))
         base = 0.0
         for c in range(len(used)):
-            upto = np.cumsum(codes == c)
-            a, total = upto[cuts - 1].astype(float), float(upto[-1])
-            gain += a * a / cuts + (total - a) ** 2 / (n - cuts)
+            of = np.cumsum(w * (codes == c))
+            a, total = of[cuts - 1], float(of[-1])
+            gain += a * a / left + (total - a) ** 2 / (n - left)
             base += total * total / n
         gain -= base
         floor = 1e-12 * n

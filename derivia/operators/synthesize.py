@@ -137,10 +137,19 @@ def pooled(rows: DataFrame, leaf: Column, target: str, order_by: Sequence[str] =
     return Pool(runs.withColumn("_dv_cell", F.explode(cells)).drop("_dv_run"), different + -(-n // width), width, {r[0]: (s, r[1]) for r, s in zip(sizes, starts, strict=True)})
 
 
+def counted_rows(frame: DataFrame, cap: int, wanted: Sequence[str], order_by: Sequence[str] = ()) -> tuple[pd.DataFrame, np.ndarray] | None:
+    """All rows as their different ones, in the order of the first of each, and how many there are of each; None above cap."""
+    keys = [F.col(f"`{c}`") for c in wanted]
+    first = F.min(F.struct(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(order_by)])) if order_by else F.lit(0)
+    counted = frame.groupBy(*keys).agg(F.count("*").alias("_dv_weight"), first.alias("_dv_first"))
+    found = counted.orderBy("_dv_first", *[F.col(f"`{c}`") for c in sorted(wanted)]).drop("_dv_first").limit(cap + 1).toPandas()
+    return None if len(found) > cap else (found, found.pop("_dv_weight").to_numpy(float))
+
+
 class FittedCART:
     """Trees and donors, one of each for a synthesized column. The donors are the training rows, or those of a frame in its order."""
 
-    def __init__(self, columns: Sequence[str], predictors: Sequence[str], numeric: Sequence[str], types: Mapping[str, T.DataType], train: pd.DataFrame, *, max_depth: int | None, min_leaf: int, seed: int | str, donors: DataFrame | None = None, order_by: Sequence[str] = ()):
+    def __init__(self, columns: Sequence[str], predictors: Sequence[str], numeric: Sequence[str], types: Mapping[str, T.DataType], train: pd.DataFrame, *, max_depth: int | None, min_leaf: int, seed: int | str, donors: DataFrame | None = None, order_by: Sequence[str] = (), weights: np.ndarray | None = None):
         self.donors, self.order_by = donors, list(order_by)
         self.columns, self.predictors, self.types = list(columns), list(predictors), dict(types)
         self.train, self.seed = train, seed
@@ -154,7 +163,7 @@ class FittedCART:
                 continue
             x = np.column_stack([self._encoded(f) for f in features])
             y = self._encoded(target) if self.is_number[target] else self._encoded(target).astype(np.int64)
-            tree = cart.fit(x, y, None if self.is_number[target] else len(self.codes[target]) + 1, features, max_depth=max_depth, min_leaf=min_leaf, seed=seed, target=target)
+            tree = cart.fit(x, y, None if self.is_number[target] else len(self.codes[target]) + 1, features, max_depth=max_depth, min_leaf=min_leaf, seed=seed, target=target, weights=weights)
             leaf = tree.apply(x)
             order = np.argsort(leaf, kind="stable")
             found, at = np.unique(leaf[order], return_index=True)
@@ -280,7 +289,7 @@ class CARTSynthesizer:
     to apply it to, all if unset. numeric: text columns that hold numbers. structure: what to learn from. fit_cap,
     max_depth, min_samples_leaf: how closely to fit. label: tells several synthesizers of one table apart in reports.
     A fit_cap bounds the rows of a structure source that are learned from and drawn. Unset, every row is drawn from,
-    and the default cap bounds what a tree is fitted on only.
+    and trees are fitted on all rows if no more than the default cap differ, else on a sample of so many.
     """
 
     def __init__(self, columns: Sequence[str], *, tables: Sequence[str] | None = None, predictors: Sequence[str] = (), numeric: Sequence[str] = (), structure: Any = None, fit_cap: Any = None, max_depth: int | None = None, min_samples_leaf: Any = 5, label: str | None = None):
@@ -317,7 +326,7 @@ class CARTSynthesizer:
         if missing:
             raise KeyError(f"table {table.name!r} has no {missing} to synthesize")
         quoted = [F.col(f"`{c}`") for c in wanted]
-        donors, order, fit_rows = None, [], None
+        donors, order, weights, fit_rows = None, [], None, None
         if frame is None:
             train, sampled = df.orderBy(INDEX, ORDINAL).limit(cap).select(*quoted).toPandas(), False
             if train.empty:
@@ -330,9 +339,11 @@ class CARTSynthesizer:
                 donors = rows
             if donors is not None and len(wanted) == 1:
                 train, sampled, fit_rows = rows.limit(0).toPandas(), False, n  # no tree, only draws
+            elif donors is not None and (whole := counted_rows(rows, cap, wanted, order)):
+                (train, weights), sampled, fit_rows = whole, False, n
             else:
                 train, sampled = training_sample(rows, cap, ctx.seed, table.name, order)
-        model = FittedCART(self.columns, self.predictors, self.numeric, {c: source.schema[c].dataType for c in wanted}, train, max_depth=self.max_depth, min_leaf=leaf, seed=ctx.seed, donors=donors, order_by=order)
+        model = FittedCART(self.columns, self.predictors, self.numeric, {c: source.schema[c].dataType for c in wanted}, train, max_depth=self.max_depth, min_leaf=leaf, seed=ctx.seed, donors=donors, order_by=order, weights=weights)
         self._diagnostics[table.name] = {}
         ctx.report(table.name, f"synthesize{suffix}", fit_rows=len(train) if fit_rows is None else fit_rows, fit_cap=cap, sampled=sampled, columns=list(self.columns), numeric=sorted(self.numeric), source=type(self.structure).__name__)
         return model.apply(df, ctx.seed, table.name)

@@ -227,3 +227,37 @@ def test_chain_draws_from_all_rows_above_the_default_cap(spark, tmp_path, monkey
     monkeypatch.setattr(synthesize, "FIT_CAP", 1000)
     monkeypatch.setattr(synthesize, "RANGE_ROWS", 2000)
     test_chain_query_draws_from_all_donors(spark, tmp_path)
+
+
+def test_tree_of_all_rows_above_the_default_cap(spark, monkeypatch):
+    """A group of two rows in 3,000 has its own leaf and donors: the tree stands on all rows, as no more than the cap differ."""
+    from derivia.functions.derive import hash_key
+    from derivia.operators import synthesize
+
+    monkeypatch.setattr(synthesize, "FIT_CAP", 40)
+    monkeypatch.setattr(synthesize, "RANGE_ROWS", 500)
+    rows = [(i, "rare" if i in (1500, 2100) else "HS" if i % 3 else "College", 900 + i % 2 if i in (1500, 2100) else i % 7 + 20 * (i % 3 == 0)) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "id long, education string, wage long").repartition(4)
+    sch = dv.Schema([dv.Entity("person", 400, {"education": dv.Choice(["HS", "College", "rare"])})], [dv.Table("t", "person", {"wage": 0}, ["education"])], 7)
+    cart_ = dv.CARTSynthesizer(["wage"], predictors=["education"], structure=dv.Empirical(frame, order_by=["id"]), min_samples_leaf=1)
+    r = dv.Pipeline(sch, synthesizer=cart_).run()
+    groups = {e: [w for _, x, w in rows if x == e] for e in ("HS", "College", "rare")}
+
+    def unit(i, salt):
+        return int(hashlib.md5((hash_key(7, salt) + f"person:{i}").encode()).hexdigest()[:13], 16) / 2**52
+
+    want = []
+    for i in range(400):
+        e = ["HS", "College", "rare"][int(unit(i, "entity\0person\0education") * 3)]
+        want.append((e, groups[e][int(unit(i, "synth\0t\0wage") * len(groups[e]))]))
+    assert sorted((x.education, x.wage) for x in r["t"].collect()) == sorted(want)
+    assert r.metadata["t"]["synthesize"]["fit_rows"] == 3000 and not r.metadata["t"]["synthesize"]["sampled"]
+
+
+def test_weights_stand_for_rows():
+    rng = np.random.default_rng(5)
+    x, w = rng.integers(0, 6, (60, 2)).astype(float), rng.integers(1, 9, 60)
+    for y, classes in ((rng.integers(0, 5, 60).astype(float), None), (rng.integers(0, 3, 60), 3)):
+        a = cart.fit(x, y, classes, ["p", "q"], min_leaf=4, weights=w)
+        b = cart.fit(np.repeat(x, w, axis=0), np.repeat(y, w), classes, ["p", "q"], min_leaf=4)
+        assert len(a.leaves) > 3 and a.feature.tolist() == b.feature.tolist() and a.threshold.tolist() == b.threshold.tolist()
